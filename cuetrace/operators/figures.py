@@ -66,11 +66,11 @@ def behaviour_bars(summary: DataFrame, subjects: DataFrame) -> DataFrame:
     keys = [EXPERIMENT, "measure", "item"]
     none = F.lit(None).cast("double")
     bars = summary.select(
-        *keys, F.lit("bar").alias("layer"), F.lit(None).cast("int").alias("SubNr"),
+        *keys, F.lit("bar").alias("layer"), F.lit("all").alias("subject"),
         F.col("mean").alias("y"), (F.col("mean") - F.col("ci")).alias("ymin"),
         (F.col("mean") + F.col("ci")).alias("ymax"))
     points = subjects.select(
-        *keys, F.lit("point").alias("layer"), "SubNr", F.col("value").alias("y"),
+        *keys, F.lit("point").alias("layer"), F.col("SubNr").cast("string").alias("subject"), F.col("value").alias("y"),
         none.alias("ymin"), none.alias("ymax"))
     return bars.unionByName(points)
 

@@ -4,40 +4,40 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuetrace.functions.means import ratio
 from cuetrace.functions.student import f_tail
 from cuetrace.params import Params
 
 
-def rm_anova(df: DataFrame, value: str, within: str, by: list[str], p: Params) -> DataFrame:
-    """One within-subject factor per group of `by`: dfn, dfd, f, p, significant, ges.
+def rm_anova(df: DataFrame, value: str, within: str, levels: list[str], by: list[str], p: Params) -> DataFrame:
+    """One within-subject factor per group of `by`: effect, dfn, dfd, f, p, significant, ges.
 
-    `df` has one row per subject and level; subjects lacking a level are left out. `ges` is
-    generalised eta squared. Sums of squares are grouped sums around level, subject and
-    grand means.
+    `df` has one row per subject and level; subjects lacking one of `levels` are left out.
+    `ges` is generalised eta squared. The only window is over the levels of one subject;
+    then each level is reduced to the spread of its subjects (of their means, and of the
+    deviations from them), and the levels to the sums of squares.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    levels = rows.groupBy(*by).agg(F.countDistinct(within).alias("k"))
-    subjects = (rows.groupBy(*by, "SubNr")
-                .agg(F.avg(value).alias("m_subj"), F.countDistinct(within).alias("k_subj"))
-                .join(levels, by).filter(F.col("k_subj") == F.col("k")).drop("k_subj"))
-    full = rows.join(subjects, [*by, "SubNr"])
-    grand = full.groupBy(*by).agg(F.avg(value).alias("m"))
-    level_means = full.groupBy(*by, within).agg(F.avg(value).alias("m_level"))
-    y, m, s, i = (F.col(c) for c in (value, "m", "m_subj", "m_level"))
-    sums = (full.join(grand, by).join(level_means, [*by, within])
-            .groupBy(*by)
-            .agg(F.first("k").alias("k"),
-                 (F.count(F.lit(1)) / F.first("k")).alias("n"),
-                 F.sum((i - m) * (i - m)).alias("ss_item"),
-                 F.sum((s - m) * (s - m)).alias("ss_subj"),
-                 F.sum((y - s - i + m) * (y - s - i + m)).alias("ss_err")))
+    subject = Window.partitionBy(*by, "SubNr")
+    y, own, k = F.col(value), F.col("_own"), float(len(levels))
+    full = (df.filter(F.col(within).isin(levels) & y.isNotNull())
+            .withColumns({"_own": F.avg(y).over(subject), "_levels": F.count(y).over(subject)})
+            .filter(F.col("_levels") == len(levels)))
+    per_level = full.groupBy(*by, within).agg(
+        F.count(y).cast("double").alias("n"),
+        F.avg(y).alias("m"),
+        F.var_pop(own).alias("v_subj"),
+        F.var_pop(y - own).alias("v_err"))
+    n = F.first("n")
+    sums = per_level.groupBy(*by).agg(
+        F.lit(k - 1).alias("dfn"),
+        ((n - 1) * (k - 1)).alias("dfd"),
+        (n * k * F.var_pop("m")).alias("ss_item"),
+        (n * k * F.first("v_subj")).alias("ss_subj"),
+        (n * F.sum("v_err")).alias("ss_err"))
     ss_item, ss_subj, ss_err = F.col("ss_item"), F.col("ss_subj"), F.col("ss_err")
     return (sums
-            .withColumn("dfn", (F.col("k") - 1).cast("double"))
-            .withColumn("dfd", ((F.col("k") - 1) * (F.col("n") - 1)).cast("double"))
             .withColumn("f", ratio(ratio(ss_item, F.col("dfn")), ratio(ss_err, F.col("dfd"))))
             .withColumn("p", f_tail("f", "dfn", "dfd"))
             .select(*by, F.lit(within).alias("effect"), "dfn", "dfd", "f", "p",

@@ -7,10 +7,11 @@ touching a border of the window are treated as written at `cluster_depth`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cuetrace.functions.draws import sign
 from cuetrace.functions.means import ratio
+from cuetrace.operators.reshape import frame_column, spread_frames
 from cuetrace.params import Params
 
 
@@ -22,12 +23,6 @@ def cohort_differences(long: DataFrame, surrogate: DataFrame) -> DataFrame:
             .select("signal", "SubNr", "cueFrame", (F.col("value") - F.col("_random")).alias("d")))
 
 
-def _f(n: Column, total: Column, squares: Column) -> Column:
-    """F(1, n - 1) of a paired difference from its number, sum and sum of squares."""
-    mean = total / n
-    return ratio(n * mean * mean, ratio(squares - n * mean * mean, n - 1))
-
-
 def frame_f(d: DataFrame) -> DataFrame:
     """Per (signal, frame): n and the repeated-measures F of observed against random."""
     n = F.count("d")
@@ -38,21 +33,31 @@ def frame_f(d: DataFrame) -> DataFrame:
 def permutation_f(d: DataFrame, permutations: int, p: Params) -> DataFrame:
     """F per (signal, perm, frame) under random signs per (perm, subject); perm 0 is the data.
 
-    Subjects are spread over tasks, each as one array of its frames. A task draws one sign
-    per (perm, subject) and adds the signed values to its partial sums per (perm, frame);
-    only these, permutations x frames per task, are shuffled.
+    Subjects are spread over tasks, one row of frame columns each. A task draws one sign per
+    (perm, subject) and adds the signed row to its partial sums, which are one row per perm;
+    only these are shuffled. Sums of squares do not depend on the signs and are taken once.
     """
-    spread = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    subjects = (d.repartition(spread, "signal", "SubNr").groupBy("signal", "SubNr")
-                .agg(F.collect_list(F.struct("cueFrame", "d")).alias("frames")))
+    spark = d.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    columns = {frame: frame_column(frame) for frame in p.frames}
+    subjects = spread_frames(d, ["signal", "SubNr"], "d", p.frames).repartition(tasks)
     flip = F.when(F.col("perm") == 0, F.lit(1.0)).otherwise(
         sign(F.lit(p.seed), F.col("signal"), F.col("perm"), F.col("SubNr")))
-    signed = (subjects
-              .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-              .select("signal", "perm", flip.alias("flip"), F.inline("frames")))
-    n = F.count("d").cast("double")
-    return signed.groupBy("signal", "perm", "cueFrame").agg(
-        _f(n, F.sum(F.col("flip") * F.col("d")), F.sum(F.col("d") * F.col("d"))).alias("f"))
+    sums = (subjects
+            .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+            .withColumn("flip", flip)
+            .groupBy("signal", "perm")
+            .agg(*[F.sum(F.col("flip") * F.col(c)).alias(c) for c in columns.values()]))
+    rows = sums.select("signal", "perm", F.inline(F.array(*[
+        F.struct(F.lit(frame).alias("cueFrame"), F.col(c).alias("s")) for frame, c in columns.items()])))
+    # One row per signal and frame of the window, however many subjects there are.
+    frames = d.groupBy("signal", "cueFrame").agg(
+        F.count("d").cast("double").alias("n"), F.sum(F.col("d") * F.col("d")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    square = F.col("n") * mean * mean
+    return (rows.join(F.broadcast(frames), ["signal", "cueFrame"])
+            .select("signal", "perm", "cueFrame",
+                    ratio(square, ratio(F.col("q") - square, F.col("n") - 1)).alias("f")))
 
 
 def islands(f: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -78,7 +83,7 @@ def _depths(runs: DataFrame, p: Params) -> DataFrame:
 
 
 def cluster_depth(f: DataFrame, scalars: DataFrame, permutations: int, p: Params) -> DataFrame:
-    """Per (signal, frame): f, cluster_id and cluster-depth p (NULL outside clusters).
+    """Per (signal, frame): f, cluster_id (0 outside clusters) and cluster-depth p (NULL there).
 
     1. Runs of F above the 0.95 quantile of F(1, N - 1) are clusters, in every permutation.
     2. Null distribution of depth j: per permutation the largest F at depth j, 0 if none.
@@ -122,7 +127,8 @@ def cluster_depth(f: DataFrame, scalars: DataFrame, permutations: int, p: Params
                     Window.partitionBy("signal").orderBy("start")).alias("cluster_id")))
     return (f.filter(F.col("perm") == 0).select("signal", "cueFrame", "f")
             .join(clusters, ["signal", "cueFrame"], "left")
-            .join(per_frame, ["signal", "cueFrame"], "left"))
+            .join(per_frame, ["signal", "cueFrame"], "left")
+            .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0))))
 
 
 def significant_frames(tested: DataFrame, p: Params) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuetrace.schema import EXPERIMENT, SEQ, TRIAL
@@ -18,7 +20,7 @@ FAN = 32_768
 
 def moving_average(
     df: DataFrame, columns: list[str], n: int = 4, *, scope: str = "stream", on_null: str = "error",
-    chunk: int = CHUNK, fan: int = FAN,
+    max_seq: int | None = None, chunk: int = CHUNK, fan: int = FAN,
 ) -> DataFrame:
     """Replace each of `columns` by the mean of its last `n` rows by `seq`; NULL for the first n - 1.
 
@@ -29,14 +31,18 @@ def moving_average(
     is exact for all rows but the first n - 1 of the chunk. These depend on edge rows only
     (the first and last n - 1 of each chunk), so they are solved by the same window over the
     edge rows, in larger chunks, and what is left by a last window over the edges of those.
+    If `max_seq`, a bound of `seq`, fits one larger chunk, the middle step is left out.
     """
     if n == 1:
         return df
     out = df.columns
     keys = SCOPES[scope]
     rows = df.withColumn("_open", F.lit(True))
+    spans = [chunk, chunk * fan, None]
+    if max_seq is not None and max_seq < chunk * fan:
+        spans.remove(chunk * fan)
     solved = []
-    for span in (chunk, chunk * fan, None):
+    for span in spans:
         part = keys if span is None else [*keys, F.floor(F.col(SEQ) / F.lit(span))]
         order = Window.partitionBy(*part).orderBy(SEQ)
         last = span is None
@@ -49,7 +55,7 @@ def moving_average(
                                     for c in out]))
         rows = (marked.filter(F.col("_head") | F.col("_tail"))
                 .select(*out, (F.col("_open") & F.col("_head")).alias("_open")))
-    return solved[0].unionByName(solved[1]).unionByName(solved[2])
+    return reduce(DataFrame.unionByName, solved)
 
 
 def _mean(x: Column, n: int, order, on_null: str) -> Column:

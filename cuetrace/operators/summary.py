@@ -30,15 +30,20 @@ def summary_se(df: DataFrame, measure: str, by: list[str], p: Params, *, na_rm:
 
 def summary_within(df: DataFrame, value: str, within: str, by: list[str], p: Params) -> DataFrame:
     """Within-subject summary per (`by`, `within`): each subject's mean is replaced by the grand
-    mean, and the spread corrected by sqrt(k / (k - 1)) for the k levels of `within`."""
-    subject = Window.partitionBy(*by, "SubNr")
-    grand = df.groupBy(*by).agg(F.avg(value).alias("_grand"), F.countDistinct(within).alias("_k"))
-    normed = (df.withColumn("_own", F.avg(value).over(subject)).join(grand, by)
-              .withColumn("_norm", F.col(value) - F.col("_own") + F.col("_grand")))
-    k = F.first("_k").cast("double")
-    stats = normed.groupBy(*by, within).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
-        F.avg("_norm").alias("mean_norm"),
-        (F.stddev_samp("_norm") * F.sqrt(ratio(k, k - 1))).alias("sd"))
+    mean, and the spread corrected by sqrt(k / (k - 1)) for the k levels of `within`.
+
+    The grand mean does not change the spread, so it is added after the aggregation, from
+    the few rows of the levels.
+    """
+    own = F.avg(value).over(Window.partitionBy(*by, "SubNr"))
+    levels = (df.withColumn("_dev", F.col(value) - own)
+              .groupBy(*by, within)
+              .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("_sum"),
+                   F.avg("_dev").alias("_dev"), F.stddev_samp("_dev").alias("_sd")))
+    group = Window.partitionBy(*by)
+    k = F.count(F.lit(1)).over(group).cast("double")
+    stats = levels.select(
+        *by, within, "n", "mean",
+        (F.col("_dev") + F.sum("_sum").over(group) / F.sum("n").over(group)).alias("mean_norm"),
+        (F.col("_sd") * F.sqrt(ratio(k, k - 1))).alias("sd"))
     return _with_interval(stats, p)

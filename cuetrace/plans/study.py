@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cuetrace.operators import averaging, baseline, behaviour, density, exclusion, figures, inference
 from cuetrace.operators import permutation, reshape, smoothing, summary, surrogate
 from cuetrace.params import Params
-from cuetrace.schema import EXPERIMENT, MEASURES, PHASE, SEQ, SIGNALS, TRIAL
+from cuetrace.schema import EXPERIMENT, ITEM_LEFT, ITEM_RIGHT, MEASURES, PHASE, SEQ, SIGNALS, TRIAL
 from cuetrace.workspace import materialize
 
 ALL_SIGNALS = list(SIGNALS)
@@ -26,6 +26,7 @@ class Study:
                  strict: bool = True):
         self.rows, self.params, self.scope, self.strict = rows, params, scope, strict
         self._bad: DataFrame | None = None
+        self._max_seq: int | None = None
         self._toward: dict[tuple, DataFrame] = {}
 
     # exclusion
@@ -48,13 +49,20 @@ class Study:
 
     # signals
 
+    def max_seq(self) -> int:
+        """Number of stored rows, which bounds `seq`; known from the file footers."""
+        if self._max_seq is None:
+            self._max_seq = self.rows.count()
+        return self._max_seq
+
     def smoothed(self, names: list[str], experiment: int | None = None, scope: str | None = None) -> DataFrame:
         """Clean rows with the signals in reported units, smoothed."""
         columns = [SIGNALS[n] for n in names]
         keys = list(dict.fromkeys([*TRIAL, "item", "cueFrame", PHASE, EXPERIMENT, SEQ]))
         rows = self.clean(experiment).select(*keys, *columns)
         return smoothing.moving_average(
-            baseline.rescale(rows, columns), columns, self.params.smooth_window, scope=scope or self.scope)
+            baseline.rescale(rows, columns), columns, self.params.smooth_window, scope=scope or self.scope,
+            max_seq=self.max_seq())
 
     def block_means(self, names: list[str], experiment: int | None = None) -> DataFrame:
         columns = [SIGNALS[n] for n in names]
@@ -133,7 +141,8 @@ class Study:
         """signal, cueFrame, f, cluster_id, p, time_ms."""
         count = permutations or self.params.permutations
         _, scalars = self._test_inputs(names)
-        tested = permutation.cluster_depth(self.permutation_f(names, count), scalars, count, self.params)
+        f = materialize(self.permutation_f(names, count), "permutation-f")  # permutations x frames rows
+        tested = permutation.cluster_depth(f, scalars, count, self.params)
         return tested.select("*", self._time())
 
     def significant_times(self, names: list[str], permutations: int | None = None) -> DataFrame:
@@ -156,7 +165,7 @@ class Study:
 
     def behaviour_anova(self, experiment: int | None = None, measure: str | None = None) -> DataFrame:
         return inference.rm_anova(self._measures(experiment, measure), "value", "item",
-                                  [EXPERIMENT, "measure"], self.params)
+                                  [ITEM_LEFT, ITEM_RIGHT], [EXPERIMENT, "measure"], self.params)
 
     def paired_differences(self, experiment: int | None = None, measure: str | None = None) -> DataFrame:
         return behaviour.paired_differences(self._measures(experiment, measure))
