@@ -37,31 +37,32 @@ def moving_average(
         return df
     out = df.columns
     keys = SCOPES[scope]
-    rows = df.withColumn("_open", F.lit(True))
     spans = [chunk, chunk * fan, None]
     if max_seq is not None and max_seq < chunk * fan:
         spans.remove(chunk * fan)
+    rows = df.withColumns({"_open": F.lit(True), "_now": F.struct(*columns)})
     solved = []
     for span in spans:
         part = keys if span is None else [*keys, F.floor(F.col(SEQ) / F.lit(span))]
         order = Window.partitionBy(*part).orderBy(SEQ)
-        last = span is None
+        # All signals travel in one struct: one lag per earlier row, however many signals.
+        earlier = [f"_lag{k}" for k in range(1, n)]
         marked = rows.withColumns({
-            "_head": F.lit(False) if last else F.lag(SEQ, n - 1).over(order).isNull(),
-            "_tail": F.lit(False) if last else F.lead(SEQ, n - 1).over(order).isNull(),
-            **{f"_mean_{c}": _mean(F.col(c), n, order, on_null) for c in columns}})
-        done = marked.filter(F.col("_open") & ~F.col("_head"))
-        solved.append(done.select(*[F.col(f"_mean_{c}").alias(c) if c in columns else F.col(c)
+            **{lag: F.lag("_now", k).over(order) for k, lag in enumerate(earlier, start=1)},
+            "_tail": F.lead(SEQ, n - 1).over(order).isNull()})
+        head = F.lit(False) if span is None else F.col(earlier[-1]).isNull()
+        done = marked.filter(F.col("_open") & ~head)
+        solved.append(done.select(*[_mean(c, earlier, n, on_null).alias(c) if c in columns else F.col(c)
                                     for c in out]))
-        rows = (marked.filter(F.col("_head") | F.col("_tail"))
-                .select(*out, (F.col("_open") & F.col("_head")).alias("_open")))
+        rows = marked.filter(head | F.col("_tail")).select(*out, "_now", (F.col("_open") & head).alias("_open"))
     return reduce(DataFrame.unionByName, solved)
 
 
-def _mean(x: Column, n: int, order, on_null: str) -> Column:
-    frame = order.rowsBetween(1 - n, 0)
-    mean = F.when(F.count(x).over(frame) == n, F.avg(x).over(frame))
+def _mean(column: str, earlier: list[str], n: int, on_null: str) -> Column:
+    """Mean of the row and the `earlier` ones, NULL if one of them is missing or NULL."""
+    x = F.col(column)
+    mean = reduce(Column.__add__, [F.col(f"{lag}.{column}") for lag in reversed(earlier)] + [x]) / F.lit(float(n))
     if on_null == "null":
         return mean
-    gap = x.isNull() & F.lag(x, 1).over(order).isNotNull()
+    gap = x.isNull() & F.col(f"{earlier[0]}.{column}").isNotNull()
     return F.when(gap, F.raise_error(F.lit("moving average: NULL after a value"))).otherwise(mean)

@@ -9,13 +9,14 @@ from cuetrace.schema import EXPERIMENT, PHASE, RECORDING, SAME_PHASE, SEQ
 from cuetrace.sources.recordings import ROUTES, store_recordings
 from cuetrace.workspace import new_path
 
-# The same text serves both engines; `seq` is added apart, each engine in its own way.
+# The same text serves both engines; `seq` is added apart, each engine in its own way. Quotients
+# are taken of doubles: a decimal literal would make Spark divide big decimals row by row.
 TRACE_COLUMNS = """
   CAST(l_orderkey % 24 + 1 AS INT)                                   AS SubNr,
-  CAST(floor((l_orderkey % 24) / 8.0) AS INT) + 1                    AS ExpNr,
+  CAST(floor(CAST(l_orderkey % 24 AS DOUBLE) / 8) AS INT) + 1                    AS ExpNr,
   l_linenumber                                                       AS block,
-  CAST(floor(l_orderkey / 24.0) % 10 AS INT)                         AS trial,
-  CASE WHEN floor(l_orderkey / 24.0) % 2 = 0 THEN 'item L' ELSE 'item R' END AS item,
+  CAST(floor(CAST(l_orderkey AS DOUBLE) / 24) % 10 AS INT)                         AS trial,
+  CASE WHEN floor(CAST(l_orderkey AS DOUBLE) / 24) % 2 = 0 THEN 'item L' ELSE 'item R' END AS item,
   CAST(l_partkey % 40 AS INT) - 10                                   AS cueFrame,
   CAST(l_orderkey AS DOUBLE) * 10 + l_linenumber                     AS Time,
   (l_extendedprice - 52950.0) / 104000.0                             AS eyeX,
@@ -30,8 +31,8 @@ TRACE_COLUMNS = """
 """
 
 TRACE_ORDER = [
-    "floor((l_orderkey % 24) / 8.0)", "l_orderkey % 24", "l_linenumber",
-    "floor(l_orderkey / 24.0) % 10", "l_partkey % 40", "l_orderkey", "l_partkey", "l_suppkey",
+    "floor(CAST(l_orderkey % 24 AS DOUBLE) / 8)", "l_orderkey % 24", "l_linenumber",
+    "floor(CAST(l_orderkey AS DOUBLE) / 24) % 10", "l_partkey % 40", "l_orderkey", "l_partkey", "l_suppkey",
     "l_extendedprice",
 ]
 
