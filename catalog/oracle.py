@@ -174,7 +174,7 @@ def perm_ctes(name: str) -> list[str]:
   CASE WHEN perm = 0 OR substr(md5(concat_ws('|', '{P.seed}', '{name}', perm, SubNr)), 1, 1) < '8'
        THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS flip
 FROM (SELECT DISTINCT SubNr FROM d), (SELECT range::INT AS perm FROM range({P.permutations})))""",
-        """permf AS MATERIALIZED (SELECT perm, cueFrame, n * (s / n) * (s / n) / nullif((q - n * (s / n) * (s / n)) / (n - 1), 0) AS f
+        """permf AS MATERIALIZED (SELECT perm, cueFrame, n * (s / n) * (s / n) / nullif((q - n * (s / n) * (s / n)) / nullif(n - 1, 0), 0) AS f
 FROM (SELECT perm, cueFrame, count(*)::DOUBLE AS n, sum(flip * d) AS s, sum(d * d) AS q
       FROM d JOIN flips USING (SubNr) GROUP BY perm, cueFrame))"""]
 
