@@ -75,12 +75,12 @@ def corrected(columns: list[str]) -> list[str]:
     means = ", ".join(f"{strict(c)} AS {c}" for c in columns)
     return [
         f"base AS (SELECT SubNr, block, trial, {bases} FROM smooth WHERE {BEFORE} GROUP BY SubNr, block, trial)",
-        f"""corr AS MATERIALIZED (SELECT s.seq, s.SubNr, s.block, s.trial, s.item, s.cueFrame, s.phase, {minus}
+        f"""corr AS MATERIALIZED (SELECT s.seq, s.ExpNr, s.SubNr, s.block, s.trial, s.item, s.cueFrame, s.phase, {minus}
 FROM smooth s LEFT JOIN base b ON s.SubNr = b.SubNr AND s.block = b.block AND s.trial = b.trial)""",
-        f"""blk AS (SELECT SubNr, block, item, cueFrame, phase, {means} FROM corr WHERE {ANALYSIS}
-GROUP BY SubNr, block, item, cueFrame, phase)""",
-        f"""subj AS MATERIALIZED (SELECT SubNr, item, cueFrame, phase, {means} FROM blk
-GROUP BY SubNr, item, cueFrame, phase)"""]
+        f"""blk AS (SELECT ExpNr, SubNr, block, item, cueFrame, phase, {means} FROM corr WHERE {ANALYSIS}
+GROUP BY ExpNr, SubNr, block, item, cueFrame, phase)""",
+        f"""subj AS MATERIALIZED (SELECT ExpNr, SubNr, item, cueFrame, phase, {means} FROM blk
+GROUP BY ExpNr, SubNr, item, cueFrame, phase)"""]
 
 
 def toward(column: str) -> str:
@@ -350,6 +350,7 @@ def build() -> dict[str, str]:
         for part, (exp, off) in ROUTES.items())
     stems = [*ROUTES, "Practice_MEMexperimenttracking"]
     stem = "CASE trial % 4 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(stems)) + " END"
+    subjects = f"SELECT ExpNr AS exp_nr, SubNr AS sub_nr, item, cueFrame AS cue_frame, phase, {rs(COLUMNS)} FROM subj"
     q = {
         "ingest_csv": query([TRACE], f"SELECT {keys}, {raw}, ExpNr AS exp_nr, seq, phase FROM trace"),
         "route_experiment": query(
@@ -369,8 +370,10 @@ def build() -> dict[str, str]:
             [*all_smooth, corrected(COLUMNS)[0]],
             f"SELECT SubNr AS sub_nr, block, trial, {', '.join(r(f'{c}_base', f'{c}_base') for c in COLUMNS)} FROM base"),
         "baseline_correct": query([*all_smooth, *corrected(COLUMNS)[:2]], f"SELECT seq, {rs(COLUMNS)} FROM corr"),
-        "block_mean": query(all_means, f"SELECT SubNr AS sub_nr, block, item, cueFrame AS cue_frame, phase, {rs(COLUMNS)} FROM blk"),
-        "subject_mean": query(all_means, f"SELECT SubNr AS sub_nr, item, cueFrame AS cue_frame, phase, {rs(COLUMNS)} FROM subj"),
+        "block_mean": query(all_means, f"SELECT ExpNr AS exp_nr, SubNr AS sub_nr, block, item, cueFrame AS cue_frame, phase, {rs(COLUMNS)} FROM blk"),
+        "subject_mean": query(all_means, subjects),
+        "subject_mean_exp": " UNION ALL ".join(
+            nested([*CLEAN_CTES, smooth(COLUMNS, experiment=e), *corrected(COLUMNS)], subjects) for e in (1, 2, 3)),
         "behav_rows": query([TRACE], f"SELECT ExpNr AS exp_nr, {keys}, Time, error, ResponseTime FROM trace WHERE cueFrame = 0"),
         "behav_block": query(BEHAVIOUR, f"SELECT ExpNr AS exp_nr, SubNr AS sub_nr, block, item, phase, {rs(MEASURES)} FROM bblk"),
         "behav_subject": query(BEHAVIOUR, f"SELECT ExpNr AS exp_nr, SubNr AS sub_nr, item, phase, measure, {r('value', 'value')} FROM blong"),

@@ -181,6 +181,7 @@ def build() -> dict[str, Query]:
         "baseline_correct": _of_study(baseline_correct),
         "block_mean": _of_study(lambda s: s.block_means(ALL_SIGNALS)),
         "subject_mean": _of_study(lambda s: s.subject_means(ALL_SIGNALS)),
+        "subject_mean_exp": _of_study(lambda s: s.subject_means(ALL_SIGNALS, "experiment")),
         "eye_head_overlay": _of_study(lambda s: s.eye_head_overlay()),
         "preview_surrogate": _of_study(preview_surrogate),
         "behav_rows": _of_rows(lambda r: behaviour.cue_rows(r).select(

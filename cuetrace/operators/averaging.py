@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cuetrace.functions.means import ratio, strict_mean
 from cuetrace.operators.baseline import in_analysis
 from cuetrace.params import Params
-from cuetrace.schema import ITEM_LEFT, ITEM_RIGHT, PHASE, TRIAL
+from cuetrace.schema import EXPERIMENT, ITEM_LEFT, ITEM_RIGHT, PHASE, TRIAL
 
-BLOCK_CELL = ["SubNr", "block", "item", "cueFrame", PHASE]
-SUBJECT_CELL = ["SubNr", "item", "cueFrame", PHASE]
+# A subject belongs to one experiment; the column only stays with the means.
+BLOCK_CELL = [EXPERIMENT, "SubNr", "block", "item", "cueFrame", PHASE]
+SUBJECT_CELL = [EXPERIMENT, "SubNr", "item", "cueFrame", PHASE]
 
 
 def trial_cells(df: DataFrame, signals: list[str], p: Params) -> DataFrame:
@@ -20,7 +21,7 @@ def trial_cells(df: DataFrame, signals: list[str], p: Params) -> DataFrame:
     many rows it had, so no later step meets a hot trial, block or subject.
     """
     return (df.filter(in_analysis(p))
-            .groupBy(*TRIAL, "item", "cueFrame", PHASE)
+            .groupBy(*BLOCK_CELL, "trial")
             .agg(F.count(F.lit(1)).alias("n"),
                  *[F.sum(s).alias(f"{s}_sum") for s in signals],
                  *[F.count(s).alias(f"{s}_n") for s in signals]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuetrace.params import Params
-from cuetrace.schema import SIGNAL_FACTOR, TRIAL
+from cuetrace.schema import PHASE, SIGNAL_FACTOR, TRIAL
 
 
 def rescale(df: DataFrame, signals: list[str]) -> DataFrame:
@@ -22,9 +22,9 @@ def in_baseline(p: Params) -> Column:
     return (F.col("cueFrame") > -p.baseline) & (F.col("cueFrame") <= 0)
 
 
-def baseline_means(df: DataFrame, signals: list[str], p: Params) -> DataFrame:
+def baseline_means(df: DataFrame, signals: list[str], p: Params, by: list[str] = TRIAL) -> DataFrame:
     """Mean of each signal before the cue, per trial (over both items), NULLs left out."""
-    return (df.filter(in_baseline(p)).dropna(subset=TRIAL).groupBy(*TRIAL)
+    return (df.filter(in_baseline(p)).dropna(subset=TRIAL).groupBy(*by)
             .agg(*[F.avg(s).alias(f"{s}_base") for s in signals]))
 
 
@@ -33,9 +33,12 @@ def baseline_correct(df: DataFrame, signals: list[str], p: Params) -> DataFrame:
 
     The means are aggregated before their shuffle, one row per trial. The join is left to
     adaptive execution: a broadcast if they turn out small, else a sort-merge join in which
-    a trial holding very many rows is split over tasks. For averaged results use
-    `averaging.block_means`, which needs no join.
+    a trial holding very many rows is split over tasks. It splits only a join of two plain
+    shuffles; therefore the means are grouped by the phase too, which is the same in all rows,
+    as they would otherwise be partitioned by trial already and join without a shuffle.
+    For averaged results use `averaging.block_means`, which needs no join.
     """
-    corrected = df.join(baseline_means(df, signals, p), TRIAL, "left")
+    means = baseline_means(df, signals, p, [*TRIAL, PHASE]).drop(PHASE)
+    corrected = df.join(means, TRIAL, "left")
     return (corrected.withColumns({s: F.col(s) - F.col(f"{s}_base") for s in signals})
             .drop(*[f"{s}_base" for s in signals]))

@@ -1,9 +1,10 @@
 """Gaussian kernel densities on fixed grids: exact kernel sums, in parallel over the points.
 
 A point adds to every cell of its grid, which no join should write out. Each task adds up its
-points in numpy (for the 2-D grid one matrix product per batch) and returns its partial grid;
-the partial grids are then added by a grouped sum. Partial grids are as large as the grid, so
-the scan is coalesced (without a shuffle) to a few tasks per core.
+points in numpy (for the 2-D grid one matrix product per block) and returns its partial grid;
+the partial grids are then added by a grouped sum. A partial grid is as large as the grid, so
+the points of several input splits are added in one task, into which they are dealt out evenly:
+moving a point costs three values, adding it thousands of kernel evaluations.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from cuetrace.params import Params
 from cuetrace.schema import ITEM_LEFT, ITEM_RIGHT
 
 POINTS_PER_BLOCK = 512  # a kernel matrix of grid x block stays in a core's cache
-TASKS_PER_CORE = 4
+SPLITS_PER_TASK = 8
 
 
 def density_points(rows: DataFrame, p: Params) -> DataFrame:
@@ -36,6 +37,7 @@ def _kernel(grid: np.ndarray, at: np.ndarray, sd: float) -> np.ndarray:
     z = grid[:, None] - at[None, :]
     np.multiply(z, z, out=z)
     z *= -0.5 / (sd * sd)
+    z[z < -700] = -np.inf  # else a denormal number, which is slow and adds nothing
     np.exp(z, out=z)
     z /= sd * np.sqrt(2 * np.pi)
     return z
@@ -51,8 +53,10 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame
                 yield item, points.iloc[at:at + POINTS_PER_BLOCK]
 
 
-def _few_tasks(points: DataFrame) -> DataFrame:
-    return points.coalesce(TASKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism)
+def _tasks(points: DataFrame) -> int:
+    """One task per `SPLITS_PER_TASK` splits of the scan, but no core idle."""
+    splits = points.rdd.getNumPartitions()
+    return max(points.sparkSession.sparkContext.defaultParallelism, splits // SPLITS_PER_TASK)
 
 
 def density_2d(points: DataFrame, p: Params) -> DataFrame:
@@ -70,7 +74,7 @@ def density_2d(points: DataFrame, p: Params) -> DataFrame:
             yield pd.DataFrame({"item": item, "ix": ix.ravel(), "iy": iy.ravel(),
                                 "part": total.ravel(), "n": counts[item]})
 
-    parts = _few_tasks(points.select("item", "x", "y")).mapInPandas(
+    parts = points.select("item", "x", "y").repartition(_tasks(points)).mapInPandas(
         partial, "item string, ix int, iy int, part double, n long")
     return parts.groupBy("item", "ix", "iy").agg((F.sum("part") / F.sum("n")).alias("density"))
 
@@ -124,7 +128,7 @@ def density_1d(points: DataFrame, p: Params) -> DataFrame:
                                 "bw": bw[item], "part": total, "n": counts[item]})
 
     with_bw = points.select("item", "x").join(F.broadcast(bandwidths(points).drop("n")), "item")
-    parts = _few_tasks(with_bw).mapInPandas(
+    parts = with_bw.repartition(_tasks(points)).mapInPandas(
         partial, "item string, i int, x double, bw double, part double, n long")
     return parts.groupBy("item", "i", "x", "bw").agg((F.sum("part") / F.sum("n")).alias("density"))
 

@@ -28,9 +28,14 @@ def number_blocks(rows: DataFrame, block: list[str], position: str, name: str =
 
 def number_sorted(df: DataFrame, order: list[str | Column], name: str = "seq") -> DataFrame:
     """Add `name` = 1, 2, ... in the order of `order`: a range-partitioned sort, stored, whose
-    partitions are then numbered one after the other."""
+    partitions are then numbered one after the other.
+
+    Rows equal in `order` keep their input order, which also lets the range partitioning
+    split a large group of them.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
     stored = materialize(
-        df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+        tied.orderBy(*order, "_tie").drop("_tie").withColumn("_id", F.monotonically_increasing_id()), "sorted")
     numbered = number_blocks(
         stored.withColumn("_part", F.shiftright("_id", 33)), ["_part"], "_id", name)
     return numbered.drop("_part", "_id")

@@ -15,14 +15,6 @@ from cuetrace.operators.reshape import frame_column, spread_frames
 from cuetrace.params import Params
 
 
-def cohort_differences(long: DataFrame, surrogate: DataFrame) -> DataFrame:
-    """Observed - random value `d` per (signal, subject, frame) that has an observed value."""
-    return (long.join(surrogate.select("signal", "SubNr", "cueFrame", F.col("value").alias("_random")),
-                      ["signal", "SubNr", "cueFrame"])
-            .filter(F.col("value").isNotNull())
-            .select("signal", "SubNr", "cueFrame", (F.col("value") - F.col("_random")).alias("d")))
-
-
 def frame_f(d: DataFrame) -> DataFrame:
     """Per (signal, frame): n and the repeated-measures F of observed against random."""
     n = F.count("d")

@@ -27,17 +27,30 @@ def cohort_scalars(summary: DataFrame, p: Params, *, strict: bool = True) -> Dat
             .withColumn("f_threshold", F.col("_t") * F.col("_t")).drop("_t"))
 
 
-def surrogate_rows(long: DataFrame, scalars: DataFrame, p: Params, *, strict: bool = True) -> DataFrame:
-    """One draw from Normal(0, mean sd) per (signal, subject, frame), `phase` = random.
+def with_surrogate(long: DataFrame, scalars: DataFrame, p: Params, *, strict: bool = True) -> DataFrame:
+    """Add `random`, a draw from Normal(0, mean sd), to each (signal, subject, frame) row.
 
-    The draws hang on the keys of the observed rows, so they are made where these lie; with
-    `strict` the observed subjects must be 1..N. `scalars` has one row per signal, at most five.
+    The draws hang on the keys of the observed rows, so they are made where these lie, without
+    a join of the two cohorts; with `strict` the observed subjects must be 1..N. `scalars` has
+    one row per signal, at most five.
     """
     draw = normal(F.lit(p.seed), F.col("signal"), F.col("SubNr"), F.col("cueFrame"))
     known = F.col("SubNr").between(1, F.col("n_subjects")) if strict else F.lit(True)
-    return (long.select("signal", "SubNr", "cueFrame").join(F.broadcast(scalars), "signal")
-            .select("signal", "SubNr", "cueFrame", F.lit(RANDOM_PHASE).alias("phase"),
-                    check_all(known, draw * F.col("mean_sd"), "subjects must be numbered 1..N").alias("value")))
+    return (long.join(F.broadcast(scalars.select("signal", "n_subjects", "mean_sd")), "signal")
+            .withColumn("random", check_all(known, draw * F.col("mean_sd"), "subjects must be numbered 1..N"))
+            .drop("n_subjects", "mean_sd"))
+
+
+def surrogate_rows(paired: DataFrame) -> DataFrame:
+    """The random cohort as rows of its own, with `phase` = random."""
+    return paired.select("signal", "SubNr", "cueFrame", F.lit(RANDOM_PHASE).alias("phase"),
+                         F.col("random").alias("value"))
+
+
+def cohort_differences(paired: DataFrame) -> DataFrame:
+    """Observed - random value `d` of each row that has an observed value."""
+    return (paired.filter(F.col("value").isNotNull())
+            .select("signal", "SubNr", "cueFrame", (F.col("value") - F.col("random")).alias("d")))
 
 
 def preview(wide: DataFrame, rows: int = 6) -> DataFrame:

@@ -18,16 +18,17 @@ class Study:
 
     Signals go by result name (`head_direction`, `gaze`, `translation`, `roll`, `yaw`).
     `experiment` restricts a result to one experiment, whose rows then form a stream of
-    their own. Two small intermediate results are stored when first needed: the bad trials
-    and, for the tests, the towardness table.
+    their own. What several results need is stored when first needed: the bad trials (one
+    row each), and the subject means (subjects x items x frames) of all `signals`, from one
+    pass over the rows. Everything after these works on the means.
     """
 
-    def __init__(self, rows: DataFrame, params: Params = Params(), *, scope: str = "stream",
-                 strict: bool = True):
-        self.rows, self.params, self.scope, self.strict = rows, params, scope, strict
+    def __init__(self, rows: DataFrame, params: Params = Params(), *, signals: list[str] = ALL_SIGNALS,
+                 scope: str = "stream", strict: bool = True):
+        self.rows, self.params, self.signals, self.scope, self.strict = rows, params, signals, scope, strict
         self._bad: DataFrame | None = None
         self._max_seq: int | None = None
-        self._toward: dict[tuple, DataFrame] = {}
+        self._means: dict[str, DataFrame] = {}
 
     # exclusion
 
@@ -55,43 +56,45 @@ class Study:
             self._max_seq = self.rows.count()
         return self._max_seq
 
-    def smoothed(self, names: list[str], experiment: int | None = None, scope: str | None = None) -> DataFrame:
+    def smoothed(self, names: list[str], scope: str | None = None) -> DataFrame:
         """Clean rows with the signals in reported units, smoothed."""
         columns = [SIGNALS[n] for n in names]
-        keys = list(dict.fromkeys([*TRIAL, "item", "cueFrame", PHASE, EXPERIMENT, SEQ]))
-        rows = self.clean(experiment).select(*keys, *columns)
+        rows = self.clean().select(*TRIAL, "item", "cueFrame", PHASE, EXPERIMENT, SEQ, *columns)
         return smoothing.moving_average(
             baseline.rescale(rows, columns), columns, self.params.smooth_window, scope=scope or self.scope,
             max_seq=self.max_seq())
 
-    def block_means(self, names: list[str], experiment: int | None = None) -> DataFrame:
+    def block_means(self, names: list[str], scope: str | None = None) -> DataFrame:
         columns = [SIGNALS[n] for n in names]
-        cells = averaging.trial_cells(self.smoothed(names, experiment), columns, self.params)
+        cells = averaging.trial_cells(self.smoothed(names, scope), columns, self.params)
         return averaging.block_means(cells, columns, self.params)
 
-    def subject_means(self, names: list[str], experiment: int | None = None) -> DataFrame:
-        columns = [SIGNALS[n] for n in names]
-        return averaging.subject_means(self.block_means(names, experiment), columns)
+    def subject_means(self, names: list[str], scope: str | None = None) -> DataFrame:
+        return averaging.subject_means(self.block_means(names, scope), [SIGNALS[n] for n in names])
+
+    def stored_means(self, experiment: int | None = None) -> DataFrame:
+        """Stored subject means, pooled or of one experiment.
+
+        One pass with the smoothing confined to experiments serves all of them.
+        """
+        scope = self.scope if experiment is None or self.scope == "trial" else "experiment"
+        if scope not in self._means:
+            self._means[scope] = materialize(self.subject_means(self.signals, scope), "subject-means")
+        means = self._means[scope]
+        return means if experiment is None else means.filter(F.col(EXPERIMENT) == experiment)
 
     def toward(self, names: list[str], experiment: int | None = None) -> DataFrame:
         """Long form: (signal, SubNr, cueFrame, phase, value)."""
         columns = {n: SIGNALS[n] for n in names}
-        wide = averaging.toward(self.subject_means(names, experiment), list(columns.values()))
+        wide = averaging.toward(self.stored_means(experiment), list(columns.values()))
         return averaging.long_form(wide, ["SubNr", "cueFrame", PHASE], columns, "signal", "value")
 
-    def stored_toward(self, experiment: int | None = None) -> DataFrame:
-        """`toward` of all signals, computed in one pass and stored: subjects x frames rows."""
-        if experiment not in self._toward:
-            self._toward[experiment] = materialize(self.toward(ALL_SIGNALS, experiment), "toward")
-        return self._toward[experiment]
-
     def _time(self):
         return (F.col("cueFrame").cast("double") * F.lit(self.params.ms_per_frame)).alias("time_ms")
 
     def position_summary(self, name: str, experiment: int | None = None) -> DataFrame:
         """item, cue_frame, n, mean, sd, se, ci, time_ms over subjects."""
-        stats = summary.summary_se(self.subject_means([name], experiment), SIGNALS[name],
-                                   ["item", "cueFrame"], self.params)
+        stats = summary.summary_se(self.stored_means(experiment), SIGNALS[name], ["item", "cueFrame"], self.params)
         return stats.select("item", F.col("cueFrame").alias("cue_frame"), "n", "mean", "sd", "se", "ci",
                             self._time())
 
@@ -108,16 +111,18 @@ class Study:
     # tests over time
 
     def toward_wide(self, name: str) -> DataFrame:
-        values = self.stored_toward().filter(F.col("signal") == name)
-        return reshape.spread_frames(values, ["SubNr", PHASE], "value", self.params.frames)
+        return reshape.spread_frames(self.toward([name]), ["SubNr", PHASE], "value", self.params.frames)
 
     def _test_inputs(self, names: list[str]) -> tuple[DataFrame, DataFrame]:
-        values = self.stored_toward().filter(F.col("signal").isin(names))
+        values = self.toward(names)
         stats = summary.summary_se(values, "value", ["signal", "cueFrame"], self.params, na_rm=True)
         return values, surrogate.cohort_scalars(stats, self.params, strict=self.strict)
 
+    def _with_surrogate(self, names: list[str]) -> DataFrame:
+        return surrogate.with_surrogate(*self._test_inputs(names), self.params, strict=self.strict)
+
     def surrogate(self, names: list[str]) -> DataFrame:
-        return surrogate.surrogate_rows(*self._test_inputs(names), self.params, strict=self.strict)
+        return surrogate.surrogate_rows(self._with_surrogate(names))
 
     def tested_rows(self, name: str) -> DataFrame:
         """Observed and random subjects under each other, wide, as they enter the test."""
@@ -126,9 +131,7 @@ class Study:
         return self.toward_wide(name).unionByName(random)
 
     def differences(self, names: list[str]) -> DataFrame:
-        values, scalars = self._test_inputs(names)
-        random = surrogate.surrogate_rows(values, scalars, self.params, strict=self.strict)
-        return permutation.cohort_differences(values, random)
+        return surrogate.cohort_differences(self._with_surrogate(names))
 
     def frame_f(self, names: list[str]) -> DataFrame:
         return permutation.frame_f(self.differences(names))

@@ -51,9 +51,15 @@ def test_a_name_with_two_parts_is_loaded_twice(spark):
     assert sorted((r.ExpNr, r.offset) for r in got) == [(1, 0), (3, 48)]
 
 
-def test_file_round_trip(spark):
+@pytest.mark.parametrize("split", ["128m", "20k"])  # whole files; files read in many splits
+def test_file_round_trip(spark, split):
     rows = trace.trace_in_order(spark, SF)
-    back = recordings.ingest(spark, trace.write_recording_files(rows))
+    folder = trace.write_recording_files(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        back = recordings.ingest(spark, folder)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     columns = [*RECORDING.names, "ExpNr", "seq"]
     assert back.count() == rows.count() == 6000
     assert back.select(columns).exceptAll(rows.select(columns)).count() == 0

@@ -68,7 +68,7 @@ def test_block_means_equal_row_level_baseline(spark, recording):
     by_cells = averaging.block_means(averaging.trial_cells(rows, ["eyeX"], P), ["eyeX"], P)
     by_rows = (baseline.baseline_correct(rows, ["eyeX"], P).filter(baseline.in_analysis(P))
                .groupBy(*averaging.BLOCK_CELL).agg(F.avg("eyeX").alias("eyeX")))
-    keyed = [{tuple(r[:5]): r.eyeX for r in df.collect()} for df in (by_cells, by_rows)]
+    keyed = [{tuple(r[:6]): r.eyeX for r in df.collect()} for df in (by_cells, by_rows)]
     assert keyed[0] == pytest.approx(keyed[1], abs=1e-12) and len(keyed[0]) == 2 * 2 * 2 * 6
 
 

@@ -226,4 +226,4 @@ def test_unbalanced_cohort_is_refused(spark):
     assert (loose.n_subjects, loose.n_frames, loose.mean_sd) == (3, 2, 1.5)
     long = spark.createDataFrame([("yaw", 7, 0, "same", 1.0)], "signal string, SubNr int, cueFrame int, phase string, value double")
     with pytest.raises(Exception, match="numbered 1..N"):
-        surrogate.surrogate_rows(long, surrogate.cohort_scalars(stats, P, strict=False), P).collect()
+        surrogate.with_surrogate(long, surrogate.cohort_scalars(stats, P, strict=False), P).collect()
