@@ -19,8 +19,8 @@ class Study:
     Signals go by result name (`head_direction`, `gaze`, `translation`, `roll`, `yaw`).
     `experiment` restricts a result to one experiment, whose rows then form a stream of
     their own. What several results need is stored when first needed: the bad trials (one
-    row each), and the subject means (subjects x items x frames) of all `signals`, from one
-    pass over the rows. Everything after these works on the means.
+    row each), the subject means (subjects x items x frames) of all `signals`, from one pass
+    over the rows, and a test's permuted F. Everything after the means works on them.
     """
 
     def __init__(self, rows: DataFrame, params: Params = Params(), *, signals: list[str] = ALL_SIGNALS,
@@ -29,6 +29,7 @@ class Study:
         self._bad: DataFrame | None = None
         self._max_seq: int | None = None
         self._means: dict[str, DataFrame] = {}
+        self._permuted: dict[tuple, DataFrame] = {}
 
     # exclusion
 
@@ -140,12 +141,18 @@ class Study:
         return permutation.permutation_f(self.differences(names), permutations or self.params.permutations,
                                          self.params)
 
+    def stored_permutation_f(self, names: list[str], permutations: int) -> DataFrame:
+        """`permutation_f`, stored: signals x permutations x frames rows, read several times by the test."""
+        key = (*sorted(names), permutations)
+        if key not in self._permuted:
+            self._permuted[key] = materialize(self.permutation_f(names, permutations), "permutation-f")
+        return self._permuted[key]
+
     def cluster_test(self, names: list[str], permutations: int | None = None) -> DataFrame:
         """signal, cueFrame, f, cluster_id, p, time_ms."""
         count = permutations or self.params.permutations
         _, scalars = self._test_inputs(names)
-        f = materialize(self.permutation_f(names, count), "permutation-f")  # permutations x frames rows
-        tested = permutation.cluster_depth(f, scalars, count, self.params)
+        tested = permutation.cluster_depth(self.stored_permutation_f(names, count), scalars, count, self.params)
         return tested.select("*", self._time())
 
     def significant_times(self, names: list[str], permutations: int | None = None) -> DataFrame:
