@@ -1,10 +1,9 @@
 """Gaussian kernel densities on fixed grids: exact kernel sums, in parallel over the points.
 
-A point adds to every cell of its grid, which no join should write out. Each task adds up its
-points in numpy (for the 2-D grid one matrix product per block) and returns its partial grid;
-the partial grids are then added by a grouped sum. A partial grid is as large as the grid, so
-the points of several input splits are added in one task, into which they are dealt out evenly:
-moving a point costs three values, adding it thousands of kernel evaluations.
+A point adds to every cell of its grid, which no join should write out. Equal points are counted
+first (combined before the one shuffle of the points, so a value held by many rows moves once).
+Each task then adds up its points in numpy (for the 2-D grid one matrix product per block) and
+returns its partial grid; the partial grids are added by a grouped sum.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from cuetrace.params import Params
 from cuetrace.schema import ITEM_LEFT, ITEM_RIGHT
 
 POINTS_PER_BLOCK = 512  # a kernel matrix of grid x block stays in a core's cache
-SPLITS_PER_TASK = 8
 
 
 def density_points(rows: DataFrame, p: Params) -> DataFrame:
@@ -53,10 +51,8 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame
                 yield item, points.iloc[at:at + POINTS_PER_BLOCK]
 
 
-def _tasks(points: DataFrame) -> int:
-    """One task per `SPLITS_PER_TASK` splits of the scan, but no core idle."""
-    splits = points.rdd.getNumPartitions()
-    return max(points.sparkSession.sparkContext.defaultParallelism, splits // SPLITS_PER_TASK)
+def _counted(points: DataFrame, *columns: str) -> DataFrame:
+    return points.groupBy("item", *columns).agg(F.count(F.lit(1)).alias("w"))
 
 
 def density_2d(points: DataFrame, p: Params) -> DataFrame:
@@ -67,14 +63,15 @@ def density_2d(points: DataFrame, p: Params) -> DataFrame:
     def partial(batches):
         sums, counts = defaultdict(lambda: np.zeros((size, size))), defaultdict(int)
         for item, block in _blocks(batches):
-            sums[item] += _kernel(grid, block.x.to_numpy(), sd) @ _kernel(grid, block.y.to_numpy(), sd).T
-            counts[item] += len(block)
+            w = block.w.to_numpy()
+            sums[item] += _kernel(grid, block.x.to_numpy(), sd) @ (_kernel(grid, block.y.to_numpy(), sd) * w).T
+            counts[item] += int(w.sum())
         for item, total in sums.items():
             ix, iy = np.indices(total.shape) + 1
             yield pd.DataFrame({"item": item, "ix": ix.ravel(), "iy": iy.ravel(),
                                 "part": total.ravel(), "n": counts[item]})
 
-    parts = points.select("item", "x", "y").repartition(_tasks(points)).mapInPandas(
+    parts = _counted(points, "x", "y").mapInPandas(
         partial, "item string, ix int, iy int, part double, n long")
     return parts.groupBy("item", "ix", "iy").agg((F.sum("part") / F.sum("n")).alias("density"))
 
@@ -121,14 +118,15 @@ def density_1d(points: DataFrame, p: Params) -> DataFrame:
         sums, counts, bw = defaultdict(lambda: np.zeros(len(grid))), defaultdict(int), {}
         for item, block in _blocks(batches):
             bw[item] = block.bw.iloc[0]
-            sums[item] += _kernel(grid, block.x.to_numpy(), bw[item]).sum(axis=1)
-            counts[item] += len(block)
+            w = block.w.to_numpy()
+            sums[item] += _kernel(grid, block.x.to_numpy(), bw[item]) @ w
+            counts[item] += int(w.sum())
         for item, total in sums.items():
             yield pd.DataFrame({"item": item, "i": np.arange(1, len(grid) + 1), "x": grid,
                                 "bw": bw[item], "part": total, "n": counts[item]})
 
-    with_bw = points.select("item", "x").join(F.broadcast(bandwidths(points).drop("n")), "item")
-    parts = with_bw.repartition(_tasks(points)).mapInPandas(
+    with_bw = _counted(points, "x").join(F.broadcast(bandwidths(points).drop("n")), "item")
+    parts = with_bw.mapInPandas(
         partial, "item string, i int, x double, bw double, part double, n long")
     return parts.groupBy("item", "i", "x", "bw").agg((F.sum("part") / F.sum("n")).alias("density"))
 
