@@ -227,3 +227,22 @@ def test_unbalanced_cohort_is_refused(spark):
     long = spark.createDataFrame([("yaw", 7, 0, "same", 1.0)], "signal string, SubNr int, cueFrame int, phase string, value double")
     with pytest.raises(Exception, match="numbered 1..N"):
         surrogate.with_surrogate(long, surrogate.cohort_scalars(stats, P, strict=False), P).collect()
+
+
+def test_family_wise_error_and_power(spark):
+    """Forty cohorts of smooth noise and ten with an effect, each as a signal of its own."""
+    draw, rows = np.random.default_rng(11), []
+    for k in range(50):
+        noise = draw.normal(size=(14, 16))
+        smooth = np.array([np.convolve(row, np.ones(5) / 5, "valid") for row in noise])  # 12 frames
+        if k >= 40:
+            smooth[:, 4:9] += 0.9
+        rows += [(f"s{k}", s + 1, f, float(smooth[s, i])) for s in range(14) for i, f in enumerate(SMALL.frames)]
+    d = spark.createDataFrame(rows, "signal string, SubNr int, cueFrame int, d double")
+    f = permutation.permutation_f(d, 99, SMALL)
+    scalars = d.select("signal").distinct().withColumn("f_threshold", F.lit(student.t_ppf(0.975, 13) ** 2))
+    hit = permutation.cluster_depth(f, scalars, 99, SMALL).filter("p < 0.05")
+    found = {r.signal: set(r.frames) for r in hit.groupBy("signal").agg(F.collect_set("cueFrame").alias("frames")).collect()}
+    assert sum(f"s{k}" in found for k in range(40)) <= 6
+    for k in range(40, 50):
+        assert {2, 3, 4} <= found[f"s{k}"]
