@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuetrace.llm import packing, wavelet
+from cuetrace.llm import lines, packing, secrets, wavelet
 from cuetrace.llm.jobs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,5 +29,28 @@ def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(files)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    base = [i for i, rule in enumerate(secrets.RULES) if rule.base]
+    names = F.array(*[F.lit(rule.name) for rule in secrets.RULES])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def count(i):
+        return F.size(F.filter(found, lambda s: s["kind"] == i)).cast("long").alias(f"n_{secrets.RULES[i].name}")
+
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, base),
+        F.sha2(written(F.filter(found, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        written(found).alias("spans"))
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packing, op6_wavelet)}
+    return {f.__name__: f for f in (op3_packing, op6_wavelet, op7_secrets, op10_lines)}
