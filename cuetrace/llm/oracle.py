@@ -2,6 +2,58 @@
 
 from __future__ import annotations
 
+OP1 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         max(list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e)))) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP2 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+digest AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS loss,
+         -- control strings and line ends, a backslash for each control string's begin, escaped roles
+         sum(length('<|im_start|>') + length('<|im_end|>') + 2 + length(text)
+             + len(regexp_extract_all(text, '<\\*\|'))
+             + length(replace(replace(role, '\', '\\'), chr(10), '\n'))
+             + len(regexp_extract_all(replace(replace(role, '\', '\\'), chr(10), '\n'), '<\\*\|'))) AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars
+FROM digest
+"""
+
+OP10 = r"""
+WITH lines AS (
+  SELECT doc_id, u.line, u.i FROM (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d,
+    LATERAL (SELECT unnest(d.l) AS line, unnest(range(len(d.l))) AS i) u),
+keyed AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+frequent AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (last_doc IS NOT NULL AND doc_id <> last_doc) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last_doc IS NULL OR doc_id = last_doc), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent USING (key) GROUP BY doc_id
+"""
+
 
 def build() -> dict[str, str]:
-    return {}
+    return {"op1_vptree": OP1, "op2_chat": OP2, "op10_lines": OP10}
