@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuetrace.llm import chat, lines, packing, secret_scan as secrets, vptree, wavelet
+from cuetrace.llm import chat, decontaminate, lines, packing, quality, secret_scan as secrets, vptree, wavelet
 from cuetrace.llm.jobs import arrow_map, table
 from cuetrace.llm.templates import unescape
 
@@ -79,10 +79,20 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         written(found).alias("spans"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "junk_score", "toxic_score", quality.accepted().alias("keep"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_vptree, op2_chat, op3_packing, op6_wavelet, op7_secrets, op10_lines)}
+    return {f.__name__: f for f in (op1_vptree, op2_chat, op3_packing, op6_wavelet, op7_secrets, op8_quality,
+                                        op9_decontaminate, op10_lines)}

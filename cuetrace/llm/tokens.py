@@ -23,7 +23,7 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 # White space beyond ASCII joins runs across the cuts; texts with it are encoded in one piece.
 SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER_SPACE = regex.compile("[" + "".join(map(chr, SPACES)) + "]")
-CACHED = 600_000
+CACHED = 450_000
 CHUNK_BYTES = 1 << 22
 
 
