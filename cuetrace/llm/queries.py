@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuetrace.llm import chat, decontaminate, lines, packing, passages, quality, secret_scan as secrets, vptree, wavelet
+from cuetrace.llm import chat, decontaminate, jaccard, lines, packing, passages, quality, secret_scan as secrets, vptree, wavelet
 from cuetrace.llm.jobs import arrow_map, table
 from cuetrace.llm.templates import unescape
 
@@ -61,6 +61,10 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = wavelet.write_files(table(spark, sf_dir, "documents"), tokenizer_path())
     return wavelet.read_documents(files)
@@ -99,5 +103,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_vptree, op2_chat, op3_packing, op4_passages, op6_wavelet, op7_secrets, op8_quality,
+    return {f.__name__: f for f in (op1_vptree, op2_chat, op3_packing, op4_passages, op5_jaccard, op6_wavelet, op7_secrets, op8_quality,
                                         op9_decontaminate, op10_lines)}
