@@ -4,9 +4,10 @@ Exactly the pairs with |a & b| / |a | b| >= `PERCENT` / 100 are linked; a docume
 smallest doc_id reachable by links.
 
 1. Each document becomes a set of 64-bit shingle hashes. Documents with equal sets are one class from then on.
-2. Similar sets share one of their first |s| - ceil(0.8 |s|) + 1 shingles in any fixed order. The order is by
-   hash, with shingles that many documents hold last, so that common passages link few documents. Classes that share
-   such a shingle, also through others, are one candidate group.
+2. Similar sets share one of their first |s| - ceil(0.8 |s|) + 1 shingles in any fixed order, and l of them in l - 1
+   more. The order is by hash, with shingles that many documents hold last, so that common passages link few
+   documents. With l about a tenth of a set, sets with fewer than l shared shingles there are left out.
+   Classes left that share a shingle there, also through others, are one candidate group.
 3. A group's sets travel once to its task; a group above `BLOCK` sets is cut into blocks, and pairs of blocks are the
    tasks. There, for each shared shingle, a signature tree is built over the sets in the order of their sizes:
    a node holds the OR of its sets' bitmaps and the range of their sizes. Two nodes are traversed together
@@ -76,6 +77,11 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def shared_least(n: np.ndarray) -> np.ndarray:
+    """How many shingles sets of this size and more are made to share, if they are similar."""
+    return n // 10 + 1
+
+
 def frequent_shingles(documents: DataFrame) -> np.ndarray:
     """Hashes of shingles that are frequent in some batch; at most COMMON times a document's shingles in number."""
     def run(batches):
@@ -115,7 +121,8 @@ def sketches(documents: DataFrame, late, percent: int) -> DataFrame:
                     mixed ^= mixed >> np.uint64(31)
                     total = np.concatenate([[np.uint64(0)], np.cumsum(mixed * np.uint64(factor))])
                     prints.append((total[s.bounds[1:]] - total[s.bounds[:-1]]).view(np.int64))
-                size = np.where(n > 0, prefix_length(n, percent), 0)
+                size = np.where(n > 0, prefix_length(n, percent) + shared_least(n) - 1, 0)
+                size = np.minimum(size, n)
                 begins = np.cumsum(size) - size
                 take = np.repeat(s.bounds[:-1] - begins, size) + np.arange(size.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begins, size.sum()).astype(np.int32)),
@@ -255,12 +262,18 @@ class _Group:
             self.links.append((int(self.names[i]), int(self.names[j])))
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """(node, component) of the classes that share a first shingle, also through others."""
-    shared = reps.select("doc_id", F.explode("prefix").alias("h"))
-    first = F.first("doc_id").over(W.partitionBy("h").orderBy("doc_id").rowsBetween(
-        W.unboundedPreceding, W.currentRow))
-    links = shared.repartition("h").select(first.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that share first shingles, also through others."""
+    head = reps.select("doc_id", "n_shingles", F.explode("prefix").alias("h")).repartition("h")
+    by_shingle = W.partitionBy("h").orderBy("doc_id")
+    beside = F.coalesce(F.lag("doc_id").over(by_shingle), F.lead("doc_id").over(by_shingle)).isNotNull()
+    shared = store(head.withColumn("beside", beside).filter("beside").drop("beside"), "shared-shingles")
+    # A partner has at least `percent` of this size, so both look at enough shingles to share this many.
+    least = F.floor(F.ceil(F.col("n_shingles") * percent / 100) / 10) + 1
+    enough = shared.groupBy("doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    first = F.first("doc_id").over(by_shingle.rowsBetween(W.unboundedPreceding, W.currentRow))
+    links = shared.join(enough.select("doc_id"), "doc_id", "left_semi").repartition("h").select(
+        first.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
     return components(links)
 
 
@@ -323,7 +336,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, block: int
     filled = known.filter("n_shingles > 0 and doc_id is not null")
     classes = store(filled.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi")
-    groups = candidate_groups(reps.select("doc_id", "prefix"))
+    groups = candidate_groups(reps.select("doc_id", "n_shingles", "prefix"), percent)
     links = verified_links(documents, _tasks(groups, block), late, percent)
     # Rows of one doc_id with different sets are one node.
     own = known.select("doc_id", *same).join(classes, same, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,4 +42,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of finished jobs.
+
+    It does so once the driver's objects for them are collected, which can take as long as the
+    driver has memory left; the files of many steps would meanwhile fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,8 +6,8 @@ phrase of `PHRASE` words with the smallest hash in them, so a window can recur o
 1. the anchors of all documents are brought together by hash; those that occur once are dropped;
 2. around the others, segments are cut: the windows that share an anchor, 20 to 34 words;
 3. segments with equal text are merged to one with its first place and count, before they are shuffled;
-4. shards of anchors compile automata. A shard confirms the windows that recur among its segments, writes each as
-   four letters of five words, and streams the segments through the automaton, in five phases. Each
+4. shards of anchors compile automata. A shard confirms the windows that several of its segments have, writes each
+   as four letters of five words, and streams these segments through the automaton, in five phases. Each
    occurrence is checked word by word and compared with the window's first place in the corpus;
 5. windows that started earlier are removed: all of a segment's later copies, and those marked in its first place.
 
@@ -29,7 +29,7 @@ from cuetrace.llm.words import Words, chunks, grams, words_of
 WINDOW = 20
 PHRASE = 6
 LETTER = 5  # words
-SHARD_SEGMENTS = 4_000
+SHARD_SEGMENTS = 20_000
 DOC = ["doc_id", "text_hash"]
 
 ANCHORS = "doc_id long, text_hash long, anchor int, h long"
@@ -99,76 +99,78 @@ def segments(documents: DataFrame) -> DataFrame:
     return arrow_map(documents, run, SEGMENTS)
 
 
-def repeats_in_shard(texts: list[str], places: list[tuple], counts: np.ndarray) -> dict[int, list[int]]:
-    """For each distinct segment, the windows in its first place that start earlier elsewhere.
+def repeats_in_shard(texts: pa.Array, places: np.ndarray) -> dict[int, list[int]]:
+    """For each distinct segment, the starts of windows in its first place that begin earlier elsewhere.
 
-    `places`: (doc_id, text_hash, start) of each segment's first place; `counts`: how often it occurs.
+    `places`: rows (doc_id, text_hash, start) of each segment's first place.
     """
-    w = words_of(pa.array(texts, pa.string()))
+    w = words_of(texts)
     bounds = w.bounds()
     windows, letters = grams(w.hashes, list(range(WINDOW))), grams(w.hashes, list(range(LETTER)))
     at = np.arange(len(windows))
     at = at[w.doc[at] == w.doc[at + WINDOW - 1]]
-    _, which = np.unique(windows[at], return_inverse=True)
-    confirmed = np.bincount(which, weights=counts[w.doc[at]]) > 1
-    _, example = np.unique(which, return_index=True)
-    example = at[example[np.flatnonzero(confirmed)]]
+    _, example, which, times = np.unique(windows[at], return_index=True, return_inverse=True, return_counts=True)
+    # Windows of one segment alone start first in its first place.
+    shared = times > 1
+    example = at[example[shared]]
     if not len(example):
         return {}
     _, letter = np.unique(letters, return_inverse=True)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     steps = np.arange(0, WINDOW, LETTER)
-    for number, key in enumerate(letter[example[:, None] + steps].tolist()):
-        automaton.add_word(tuple(key), number)
+    for number, key in enumerate(map(tuple, letter[example[:, None] + steps].tolist())):
+        automaton.add_word(key, number)
     automaton.make_automaton()
 
-    raw = w.data.tobytes()
-    starts, ends = w.starts.tolist(), w.ends.tolist()
-
-    def window(i: int) -> bytes:
-        return raw[starts[i]:ends[i + WINDOW - 1]]
-
-    examples = [window(i) for i in example.tolist()]
+    found_at, found_pattern = [], []
     letter = letter.tolist()
-    first: list = [None] * len(examples)
-    matches = []
-    for number, (doc_id, text_hash, start) in enumerate(places):
+    for number in np.unique(w.doc[at[shared[which]]]).tolist():
         begin, end = int(bounds[number]), int(bounds[number + 1]) - LETTER + 1
         for phase in range(begin, min(begin + LETTER, end)):
             for last, pattern in automaton.iter(tuple(letter[phase:end:LETTER])):
-                i = phase + LETTER * (last - len(steps) + 1)
-                if window(i) == examples[pattern]:
-                    place = (doc_id, text_hash, start + i - begin)
-                    matches.append((number, place, pattern))
-                    if first[pattern] is None or place < first[pattern]:
-                        first[pattern] = place
-    found: dict[int, list[int]] = {}
-    for number, place, pattern in matches:
-        if place != first[pattern]:
-            found.setdefault(number, []).append(place[2])
-    return found
+                found_at.append(phase + LETTER * (last - len(steps) + 1))
+                found_pattern.append(pattern)
+    found, pattern = np.array(found_at), np.array(found_pattern)
+    raw = w.data.tobytes()
+    own, other = (zip(w.starts[i].tolist(), w.ends[i + WINDOW - 1].tolist()) for i in (found, example[pattern]))
+    same = np.fromiter((raw[a:b] == raw[c:d] for (a, b), (c, d) in zip(own, other)), bool, len(found))
+    found, pattern = found[same], pattern[same]
+    number = w.doc[found]
+    place = places[number]
+    place[:, 2] += found - bounds[number]
+    order = np.lexsort((place[:, 2], place[:, 1], place[:, 0], pattern))
+    pattern, place, number = pattern[order], place[order], number[order]
+    first = np.searchsorted(pattern, pattern)
+    later = (place != place[first]).any(axis=1)
+    repeats: dict[int, list[int]] = {}
+    for i, start in zip(number[later].tolist(), place[later, 2].tolist()):
+        repeats.setdefault(i, []).append(start)
+    return repeats
 
 
 def marks(distinct: DataFrame) -> DataFrame:
     """Windows to remove in the segments' first places. A shard holds whole anchors."""
     def run(batches):
-        held, last = [], None
+        held: list[pa.RecordBatch] = []
 
-        def shard():
-            places = [(r["doc_id"], r["text_hash"], r["start"]) for r in held]
-            found = repeats_in_shard([r["words"] for r in held], places, np.array([r["n"] for r in held]))
-            return {"doc_id": [places[i][0] for i in found], "text_hash": [places[i][1] for i in found],
-                    "starts": list(found.values())}
+        def shard(rows: pa.Table):
+            places = np.stack([rows.column(c).to_numpy() for c in (*DOC, "start")], axis=1).astype(np.int64)
+            found = repeats_in_shard(rows.column("words").combine_chunks(), places)
+            at = list(found)
+            return {"doc_id": places[at, 0], "text_hash": places[at, 1], "starts": list(found.values())}
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if len(held) >= SHARD_SEGMENTS and row["h"] != last:
-                    yield shard()
-                    held = []
-                last = row["h"]
-                held.append(row)
+            held.append(batch)
+            if sum(b.num_rows for b in held) < SHARD_SEGMENTS:
+                continue
+            rows = pa.Table.from_batches(held)
+            h = rows.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield shard(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
         if held:
-            yield shard()
+            yield shard(pa.Table.from_batches(held))
 
     return arrow_map(distinct.repartition("h").sortWithinPartitions("h"), run, MARKS)
 
@@ -214,17 +216,18 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = anchors(docs.filter(F.col("doc_id").isNotNull()))
     hits = store(recurring(found), "anchors")
-    touched = store(docs.join(hits, DOC), "touched")
+    known = store(docs.join(hits, DOC, "left"), "documents")
+    touched = known.filter("anchors is not null")
     cut = store(segments(touched).withColumn("words_hash", F.xxhash64("words")), "segments")
     place = F.struct(*DOC, "start")
     distinct = store(cut.groupBy("h", "words_hash").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words")), "distinct")
-    in_first = marks(distinct.select("h", "first.*", "n", "words"))
+    in_first = marks(distinct.select("h", "first.*", "words"))
     later = (cut.select("h", "words_hash", *DOC, "start", "n_windows")
              .join(distinct.filter("n > 1").select("h", "words_hash", "first"), ["h", "words_hash"])
              .filter(place != F.col("first")))
-    removed = (later.groupBy(*DOC).agg(F.collect_set(F.struct("start", "n_windows")).alias("spans"))
-               .join(in_first.groupBy(*DOC).agg(F.collect_list("starts").alias("starts")), DOC, "full"))
+    removed = store(later.groupBy(*DOC).agg(F.collect_set(F.struct("start", "n_windows")).alias("spans")).join(
+        in_first.groupBy(*DOC).agg(F.collect_list("starts").alias("starts")), DOC, "full"), "removed")
     changed = _without(touched.select(*DOC, "text").join(removed, DOC, "left").select(*DOC, "text", "spans", "starts"))
-    rest = _plain(docs.join(hits.select(*DOC), DOC, "left_anti").select(*DOC, "text"))
+    rest = _plain(known.filter("anchors is null").select(*DOC, "text"))
     return rest.unionByName(changed).select("doc_id", "n_words", "n_removed", "kept")
