@@ -7,7 +7,8 @@ smallest doc_id reachable by links.
 2. Similar sets share one of their first |s| - ceil(0.8 |s|) + 1 shingles in any fixed order, and l of them in l - 1
    more. The order is by hash, with shingles that many documents hold last, so that common passages link few
    documents. With l about a tenth of a set, sets with fewer than l shared shingles there are left out.
-   Classes left that share a shingle there, also through others, are one candidate group.
+   Of the rest, the rarest shared shingles are looked at; classes that share one, also through others, are one
+   candidate group.
 3. A group's sets travel once to its task; a group above `BLOCK` sets is cut into blocks, and pairs of blocks are the
    tasks. There, for each shared shingle, a signature tree is built over the sets in the order of their sizes:
    a node holds the OR of its sets' bitmaps and the range of their sizes. Two nodes are traversed together
@@ -271,8 +272,15 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     # A partner has at least `percent` of this size, so both look at enough shingles to share this many.
     least = F.floor(F.ceil(F.col("n_shingles") * percent / 100) / 10) + 1
     enough = shared.groupBy("doc_id", "n_shingles").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    # Of the shared shingles the rarest come first now; without the last `least - 1` of them two similar sets still
+    # share one, while what only common passages share falls away.
+    held = shared.join(enough.select("doc_id", "n", least.alias("least")), "doc_id")
+    number = shared.groupBy("h").agg(F.count(F.lit(1)).alias("documents"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("documents", "h"))
+    rare = held.join(number, "h").withColumn("place", place).filter(
+        F.col("place") <= F.col("n") - F.col("least") + 1)
     first = F.first("doc_id").over(by_shingle.rowsBetween(W.unboundedPreceding, W.currentRow))
-    links = shared.join(enough.select("doc_id"), "doc_id", "left_semi").repartition("h").select(
+    links = rare.select("h", "doc_id").repartition("h").select(
         first.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
     return components(links)
 

@@ -54,3 +54,13 @@ def release(spark) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete stored tables whose last reader has ended."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from cuetrace.llm.jobs import arrow_map, store
+from cuetrace.llm.jobs import arrow_map, drop_stored, store
 from cuetrace.llm.words import Words, chunks, grams, words_of
 
 WINDOW = 20
@@ -228,6 +228,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
              .filter(place != F.col("first")))
     removed = store(later.groupBy(*DOC).agg(F.collect_set(F.struct("start", "n_windows")).alias("spans")).join(
         in_first.groupBy(*DOC).agg(F.collect_list("starts").alias("starts")), DOC, "full"), "removed")
+    drop_stored(cut, distinct, hits)
     changed = _without(touched.select(*DOC, "text").join(removed, DOC, "left").select(*DOC, "text", "spans", "starts"))
     rest = _plain(known.filter("anchors is null").select(*DOC, "text"))
     return rest.unionByName(changed).select("doc_id", "n_words", "n_removed", "kept")
