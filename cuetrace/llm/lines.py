@@ -9,7 +9,8 @@ maxima over the few runs.
 
 A null or empty text is one empty line. Rows with equal doc_id are one document for the count, and
 each keeps its own row. Rows with a null doc_id never count and keep all lines. Only DataFrame
-functions are used. Extra columns are carried along by `dedup_lines`.
+functions are used. Extra columns are carried along, but for
+older `n_lines` and `n_dropped`.
 """
 
 from __future__ import annotations
@@ -105,10 +106,13 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_documen
     dropped = (keys.select("doc_id", "text_hash", "line_no", *HASH).join(frequent, HASH)
                .filter(F.col("doc_id") != F.col("last_doc")).groupBy("doc_id", "text_hash")
                .agg(F.collect_set("line_no").alias("drop_lines")))
-    left = documents.withColumn("text_hash", text_hash).join(dropped, ["doc_id", "text_hash"], "left")
+    added = ("n_lines", "n_dropped")
+    others = [c for c in documents.columns if c not in ("doc_id", "text", *added)]
+    rows = documents.select("doc_id", "text", text_hash, F.struct(F.lit(0), *others).alias("others"))
+    left = rows.join(dropped, ["doc_id", "text_hash"], "left")
     lines = lines_of(F.col("text"))
     kept = F.when(F.col("drop_lines").isNull(), lines).otherwise(
         F.filter(lines, lambda _, i: ~F.array_contains("drop_lines", i)))
-    return left.select(*[documents[c] for c in documents.columns if c != "text"],
-                       F.array_join(kept, "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"),
+    return left.select("doc_id", F.array_join(kept, "\n").alias("text"), *[F.col(f"others.`{c}`") for c in others],
+                       F.size(lines).cast("long").alias("n_lines"),
                        F.coalesce(F.size("drop_lines"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -10,7 +10,8 @@ The lexicon of toxic words and the scorer are fitted on at most `SAMPLE` labelle
 smallest hashes of doc_id. The votes are counted over all documents.
 
 A null or empty text has no words; it counts as junk. A label row with a null is not used; of repeated labels of
-one document the worst counts. Without labels the lexicon is empty and nothing is toxic. Rows with equal doc_id are
+one document the worst counts. Without labels the lexicon is empty, nothing is
+toxic, and the scorer is trained on as many documents without labels. Rows with equal doc_id are
 scored each by itself; extra columns are carried along by `classify`.
 """
 
@@ -122,7 +123,7 @@ class WeakLabels:
     def fit(cls, counts: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> WeakLabels:
         """From the number of documents with each pattern of votes. Starts from: a bad vote is right."""
         if not counts:
-            return cls(0.0, np.full((1, 2, 2), 0.5))
+            return cls(0.0, np.full((max(len(JUNK), len(TOXIC)), 2, 2), 0.5))
         patterns = np.array(list(counts), np.int8)
         number = np.array(list(counts.values()), float)
         bad = np.where((patterns == 1).any(axis=1), 0.9, 0.05)
@@ -220,8 +221,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classi
                 yield {"toxic": part.column("label_toxic"), "junk": pa.array(found.junk.tolist()),
                        "words": pa.ListArray.from_arrays(ends, pa.array(found.words.view(np.int64)))}
 
-    rows = arrow_map(labelled_sample(documents, labels, sample), words,
-                     "toxic long, junk array<int>, words array<long>").collect()  # at most `sample` rows
+    schema = "toxic long, junk array<int>, words array<long>"
+    rows = arrow_map(labelled_sample(documents, labels, sample), words, schema).collect()  # at most `sample` rows
+    if not rows:
+        some = documents.select("text", F.lit(0).alias("label_toxic")).orderBy(F.xxhash64("text")).limit(sample)
+        rows = arrow_map(some, words, schema).collect()
     each = [np.array(r["words"], np.int64).view(np.uint64) for r in rows]
     model = Classifier(learn_lexicon(each, np.array([r["toxic"] for r in rows])))
 
@@ -257,6 +261,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classi
 
 def classify(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents with `junk_score` and `toxic_score`."""
+    documents = documents.drop("junk_score", "toxic_score")
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, sample))
     schema = StructType([*documents.schema.fields, StructField("junk_score", DoubleType()),
                          StructField("toxic_score", DoubleType())])
