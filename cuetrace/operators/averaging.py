@@ -58,10 +58,14 @@ def toward(subjects: DataFrame, signals: list[str]) -> DataFrame:
     """Half the difference right - left per (subject, frame): movement toward the cued item.
 
     A cell with one item only stays, with NULL values, and has the right item's phase. Both
-    items meet in one aggregation; `subjects` has at most one row per item.
+    items meet in one aggregation; `subjects` has at most one row per item, else the job fails.
     """
     def side(item: str, c: str):
-        return F.max(F.when(F.col("item") == item, F.col(c)))
+        here = F.col("item") == item
+        kind = subjects.schema[c].dataType
+        return F.when(F.count(F.when(here, F.lit(1))) > 1, F.raise_error(F.lit(
+            f"several rows of {item} in a cell of subject and frame")).cast(kind)).otherwise(
+            F.max(F.when(here, F.col(c))))
 
     return (subjects.filter(F.col("item").isin(ITEM_LEFT, ITEM_RIGHT))
             .groupBy("SubNr", "cueFrame")

@@ -15,8 +15,9 @@ ROUTES = {
     "Real_MEMexperimenttracking": (3, 48),
 }
 
-# The listing pattern ".csv" is an unanchored regular expression: any character, then "csv".
-FILE_GLOB = "*?csv*"
+# The listing pattern ".csv" is an unanchored regular expression: any character, then "csv". Files that
+# belong to no experiment are not opened, whatever their columns.
+FILE_GLOB = f"*{{{','.join(ROUTES)}}}*?csv*"
 
 
 def routes(file_name: Column) -> Column:
@@ -51,22 +52,46 @@ def _file_schema(spark: SparkSession, folder: str) -> T.StructType:
     missing = known.keys() - set(header)
     if missing:
         raise ValueError(f"recording files lack the columns {sorted(missing)}")
-    return T.StructType([known.get(name, T.StructField(name, T.StringType())) for name in header])
+    # Whole numbers may be written as `3.0`: they are read as doubles, and checked when they become integers.
+    return T.StructType([T.StructField(name, _read_type(known[name].dataType) if name in known else T.StringType())
+                         for name in header])
+
+
+def _read_type(kind: T.DataType) -> T.DataType:
+    return T.DoubleType() if isinstance(kind, T.IntegralType) else kind
+
+
+def _whole(field: T.StructField) -> Column:
+    value = F.col(field.name)
+    bad = F.raise_error(F.concat(F.lit(f"{field.name} is no whole number: "), value.cast("string")))
+    return F.when(value.isNull() | (value == F.floor(value)), value.cast(field.dataType)).otherwise(
+        bad.cast(field.dataType)).alias(field.name)
+
+
+def unique_subject(experiment: Column, subject: Column, offset: Column) -> Column:
+    """Subject id plus offset; the job fails if the id reaches the next experiment's range."""
+    offsets = sorted(offset for _, offset in ROUTES.values())
+    last = {own: after - own for own, after in zip(offsets, offsets[1:])}
+    limit = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[offset]
+    outside = subject > F.coalesce(limit, subject)
+    message = F.concat(F.lit("subject "), subject.cast("string"), F.lit(" of experiment "),
+                       experiment.cast("string"), F.lit(" would share the id of a subject of another experiment"))
+    return F.when(outside, F.raise_error(message).cast("int")).otherwise(subject + offset)
 
 
 def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
     """All recording files directly in `folder` as typed rows, NA and NaN as NULL.
 
     Adds `ExpNr`, the unique `SubNr`, and the file order as (`file_name`, `file_start`, `file_row`).
-    A file whose header differs from the others fails the read.
+    A file whose header differs from the others fails the read, as does a cell that does not parse.
     """
     raw = (spark.read.schema(_file_schema(spark, folder))
            .option("pathGlobFilter", FILE_GLOB)
            .option("recursiveFileLookup", False)
            .option("header", True).option("enforceSchema", False)
-           .option("nullValue", "NA")
+           .option("nullValue", "NA").option("mode", "FAILFAST")
            .csv(folder)
-           .select(*RECORDING.names,
+           .select(*[_whole(f) if isinstance(f.dataType, T.IntegralType) else f.name for f in RECORDING.fields],
                    F.col("_metadata.file_name").alias("file_name"),
                    F.col("_metadata.file_block_start").alias("file_start"),
                    F.monotonically_increasing_id().alias("file_row")))
@@ -74,7 +99,7 @@ def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
     doubles = [f.name for f in RECORDING.fields if f.dataType == T.DoubleType()]
     return (routed
             .withColumns({c: nan_to_null(c) for c in doubles})
-            .withColumn("SubNr", F.col("SubNr") + F.col("offset"))
+            .withColumn("SubNr", unique_subject(F.col(EXPERIMENT), F.col("SubNr"), F.col("offset")))
             .drop("offset"))
 
 

@@ -86,5 +86,7 @@ def write_recording_files(rows: DataFrame, name: str = "files") -> str:
         for status in files.listStatus(parts):
             part = status.getPath().getName()
             if part.startswith("part-"):
-                files.rename(status.getPath(), path_of(target, f"{stem}_{part[5:10]}.csv"))
+                number = int(part.split("-")[1])
+                if not files.rename(status.getPath(), path_of(target, f"{stem}_{number:09d}.csv")):
+                    raise OSError(f"{part} could not be moved to {folder}")
     return folder
