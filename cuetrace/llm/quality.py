@@ -29,7 +29,7 @@ from cuetrace.llm.words import PUNCTUATION, SPACE, chunks, words_of
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS = 1 << 16
 LEXICON_DOCUMENTS, LEXICON_PRECISION = 5, 0.9
 FALSE_ALARMS, PRIOR_DOCUMENTS = 0.002, 3
@@ -152,9 +152,10 @@ def hashed(votes: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> tuple[np
     doc = np.repeat(np.arange(len(votes)), counts)
     value = (1 / np.sqrt(np.maximum(counts, 1)))[doc]
     at, labeller = np.nonzero(votes >= 0)
-    return (np.concatenate([doc, at, np.arange(len(votes))]),
-            np.concatenate([(words % np.uint64(BUCKETS)).astype(np.int64),
-                            BUCKETS + 1 + 2 * labeller + votes[at, labeller], np.full(len(votes), BUCKETS)]),
+    bucket = (words % np.uint64(BUCKETS)).astype(np.int32)
+    own = (BUCKETS + 1 + 2 * labeller + votes[at, labeller]).astype(np.int32)
+    return (np.concatenate([doc, at, np.arange(len(votes))]).astype(np.int32),
+            np.concatenate([bucket, own, np.full(len(votes), BUCKETS, np.int32)]),
             np.concatenate([value, np.ones(len(at) + len(votes))]))
 
 
@@ -217,16 +218,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classi
         for batch in batches:
             for part in chunks(batch, "text"):
                 found = features(part.column("text"), empty)
-                ends = pa.array(found.bounds.astype(np.int32))
                 yield {"toxic": part.column("label_toxic"), "junk": pa.array(found.junk.tolist()),
-                       "words": pa.ListArray.from_arrays(ends, pa.array(found.words.view(np.int64)))}
+                       "words": [found.words[a:b].tobytes() for a, b in zip(found.bounds, found.bounds[1:])]}
 
-    schema = "toxic long, junk array<int>, words array<long>"
+    schema = "toxic long, junk array<int>, words binary"
     rows = arrow_map(labelled_sample(documents, labels, sample), words, schema).collect()  # at most `sample` rows
     if not rows:
         some = documents.select("text", F.lit(0).alias("label_toxic")).orderBy(F.xxhash64("text")).limit(sample)
         rows = arrow_map(some, words, schema).collect()
-    each = [np.array(r["words"], np.int64).view(np.uint64) for r in rows]
+    each = [np.frombuffer(r["words"], np.uint64) for r in rows]
     model = Classifier(learn_lexicon(each, np.array([r["toxic"] for r in rows])))
 
     lexicon = model.lexicon
