@@ -167,7 +167,8 @@ def find_secrets(documents: DataFrame, rules: list[Rule] | None = None) -> DataF
         found = spans(F.col("text"), _shorter(rule), i)
         indexed = bool(trigram_query(rule.pattern))
         parts.append(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, found).otherwise(none) if indexed else found)
-    return (docs.join(chosen, "doc_id", "left").select("doc_id", "text", bits.alias("bits"))
+    # The candidates grow with the documents: one plan at every size, no broadcast while they are few.
+    return (docs.hint("merge").join(chosen, "doc_id", "left").select("doc_id", "text", bits.alias("bits"))
             .select("doc_id", F.array_sort(F.concat(*parts)).alias("found")))
 
 
