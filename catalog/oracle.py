@@ -451,6 +451,8 @@ UNION ALL SELECT layer, type, {rs(['time_ms'])}, y, NULL, NULL FROM ({' UNION AL
     for exp in (1, 2, 3):
         for name in figures.TOWARD_LIMITS_BY_EXPERIMENT:
             q[f"position_{name}_exp{exp}"] = query(position_ctes(name, exp), position)
+            q[f"fig_position_{name}_exp{exp}"] = query(
+                position_ctes(name, exp), position.replace(" FROM summ", f", {ribbon} FROM summ"))
             q[f"toward_{name}_exp{exp}"] = query(signal_ctes(name, exp), toward_rows)
             q[f"toward_summary_{name}_exp{exp}"] = query(toward_summary_ctes(name, exp), toward_stats)
             q[f"fig_toward_{name}_exp{exp}"] = fig_toward(name, exp)

@@ -224,6 +224,8 @@ def build() -> dict[str, Query]:
     for exp in (1, 2, 3):
         for name in figures.TOWARD_LIMITS_BY_EXPERIMENT:
             q[f"position_{name}_exp{exp}"] = _of_study(lambda s, n=name, e=exp: s.position_summary(n, e))
+            q[f"fig_position_{name}_exp{exp}"] = _of_study(
+                lambda s, n=name, e=exp: figures.ribbon(s.position_summary(n, e)))
             q[f"toward_{name}_exp{exp}"] = _of_study(
                 lambda s, n=name, e=exp: _without_signal(s.toward([n], e)))
             q[f"toward_summary_{name}_exp{exp}"] = _of_study(lambda s, n=name, e=exp: s.toward_summary(n, e))

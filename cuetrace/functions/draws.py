@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 
@@ -24,3 +26,10 @@ def normal(*key: Column) -> Column:
 def sign(*key: Column) -> Column:
     """+1 or -1 with equal chance: the top bit of the key's MD5."""
     return F.when(F.substring(_digest(*key), 1, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def signs(seed: int, signal: str, permutations: int, subject: int) -> list[float]:
+    """`sign(seed, signal, perm, subject)` of perm 0, 1, ... inside a task."""
+    heads = (hashlib.md5(f"{seed}|{signal}|{perm}|{subject}".encode(), usedforsecurity=False).digest()[0]
+             for perm in range(permutations))
+    return [1.0 if head < 128 else -1.0 for head in heads]

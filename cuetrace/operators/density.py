@@ -1,9 +1,9 @@
 """Gaussian kernel densities on fixed grids: exact kernel sums, in parallel over the points.
 
-A point adds to every cell of its grid, which no join should write out. Equal points are counted
-first (combined before the one shuffle of the points, so a value held by many rows moves once).
-Each task then adds up its points in numpy (for the 2-D grid one matrix product per block) and
-returns its partial grid; the partial grids are added by a grouped sum.
+A point adds to every cell of its grid, which no join should write out. Kernel sums add up, so
+points are not moved: each task of the scan counts the equal points of a batch, adds up the kernels in
+numpy (for the 2-D grid one matrix product per block) and returns its partial grid; only the partial
+grids are shuffled, to be added by a grouped sum.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cuetrace.functions.means import ratio
-from cuetrace.operators.quantiles import group_quantiles
+from cuetrace.operators.quantiles import collect_groups, group_quantiles
 from cuetrace.params import Params
 from cuetrace.schema import ITEM_LEFT, ITEM_RIGHT
+from cuetrace.workspace import materialize
 
 POINTS_PER_BLOCK = 512  # a kernel matrix of grid x block stays in a core's cache
 
@@ -41,19 +41,17 @@ def _kernel(grid: np.ndarray, at: np.ndarray, sd: float) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
-    """The points of one item at a time, in blocks that bound the kernel matrix."""
+    """The different points of a batch with their counts `w`, one item at a time, in blocks that
+    bound the kernel matrix."""
     for batch in batches:
         if batch.isnull().values.any():
             raise ValueError("density: missing value in a point")
-        for item, points in batch.groupby("item"):
+        counted = batch.groupby(list(batch.columns), sort=False).size().reset_index(name="w")
+        for item, points in counted.groupby("item"):
             for at in range(0, len(points), POINTS_PER_BLOCK):
                 yield item, points.iloc[at:at + POINTS_PER_BLOCK]
 
 
-def _counted(points: DataFrame, *columns: str) -> DataFrame:
-    return points.groupBy("item", *columns).agg(F.count(F.lit(1)).alias("w"))
-
-
 def density_2d(points: DataFrame, p: Params) -> DataFrame:
     """Density per item on the square grid: item, ix, iy (1-based), density."""
     size, sd = p.grid_size, p.kde_width / 4
@@ -70,7 +68,7 @@ def density_2d(points: DataFrame, p: Params) -> DataFrame:
             yield pd.DataFrame({"item": item, "ix": ix.ravel(), "iy": iy.ravel(),
                                 "part": total.ravel(), "n": counts[item]})
 
-    parts = _counted(points, "x", "y").mapInPandas(
+    parts = points.select("item", "x", "y").mapInPandas(
         partial, "item string, ix int, iy int, part double, n long")
     return parts.groupBy("item", "ix", "iy").agg((F.sum("part") / F.sum("n")).alias("density"))
 
@@ -93,20 +91,26 @@ def density_map(by_item: DataFrame, p: Params) -> DataFrame:
 
 
 def bandwidths(points: DataFrame) -> DataFrame:
-    """Per item the rule-of-thumb bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5) of x."""
-    quartiles = (group_quantiles(points, "x", "item", [0.25, 0.75]).groupBy("item")
-                 .agg((F.max("quantile") - F.min("quantile")).alias("iqr")))
-    spread = points.groupBy("item").agg(
-        F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.avg("x").alias("mean"))
+    """Per item the rule-of-thumb bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5) of x.
+
+    One pass gives n, mean, sd and the bounds from which the quartiles are narrowed down.
+    """
+    found = collect_groups(points.groupBy("item").agg(
+        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.stddev_samp("x").alias("sd"), F.avg("x").alias("mean")))
+    quartiles = {(r.item, r.prob): r.quantile for r in group_quantiles(
+        points, "x", "item", [0.25, 0.75], bounds=[(r.item, r.n, r.lo, r.hi) for r in found if r.n]).collect()}
+    spread = points.sparkSession.createDataFrame(
+        [(r.item, r.n, r.sd, r.mean, quartiles[r.item, 0.75] - quartiles[r.item, 0.25] if r.n else None)
+         for r in found], "item string, n long, sd double, mean double, iqr double")
 
     def positive(x):
         return F.when(x > 0, x)
 
     low = F.least(F.col("sd"), F.col("iqr") / 1.34)
     width = F.coalesce(positive(low), positive(F.col("sd")), positive(F.abs("mean")), F.lit(1.0))
-    return (spread.join(F.broadcast(quartiles), "item")
-            .select("item", "n", (F.lit(0.9) * width * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-                    .alias("bw")))
+    return spread.select("item", "n", (F.lit(0.9) * width * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+                         .alias("bw"))
 
 
 def density_1d(points: DataFrame, p: Params) -> DataFrame:
@@ -124,7 +128,9 @@ def density_1d(points: DataFrame, p: Params) -> DataFrame:
             yield pd.DataFrame({"item": item, "i": np.arange(1, len(grid) + 1), "x": grid,
                                 "bw": bw[item], "part": total, "n": counts[item]})
 
-    with_bw = _counted(points, "x").join(F.broadcast(bandwidths(points).drop("n")), "item")
+    # Read once per narrowing round of the quartiles and once for the sums: two narrow columns, stored.
+    points = materialize(points.select("item", "x"), "density-x")
+    with_bw = points.join(F.broadcast(bandwidths(points).drop("n")), "item")
     parts = with_bw.mapInPandas(
         partial, "item string, i int, x double, bw double, part double, n long")
     return parts.groupBy("item", "i", "x", "bw").agg((F.sum("part") / F.sum("n")).alias("density"))

@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cuetrace.workspace import broadcast_within, materialize
-
-# A block is one input split or one sort partition, so its offsets stay small for any data
-# size (100 TB in 128 MB splits are 800,000 blocks). Beyond this the planner decides the join.
-MAX_BROADCAST_BLOCKS = 2_000_000
+from cuetrace.workspace import materialize
 
 
 def number_blocks(rows: DataFrame, block: list[str], position: str, name: str = "seq") -> DataFrame:
     """Add `name` = 1, 2, ... in the order of (`block`, `position`).
 
     `rows` must be a stored table in which `position` grows by one from row to row inside a
-    block. Only one row per block is numbered in sequence; all other work is row-local.
+    block. Only one row per block (an input split or sort partition) is numbered in sequence; their
+    starts are stored, so the planner knows their size and broadcasts them only below its threshold.
     """
     sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"), F.min(position).alias("_first"))
     upto = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(sizes.select(
         *block, "_first", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_start")), "blocks")
-    return (rows.join(broadcast_within(starts, MAX_BROADCAST_BLOCKS), block)
+    return (rows.join(starts, block)
             .withColumn(name, F.col("_start") + F.col(position) - F.col("_first") + 1)
             .drop("_start", "_first"))
 

@@ -7,13 +7,17 @@ touching a border of the window are treated as written at `cluster_depth`.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cuetrace.functions.draws import sign
+from cuetrace.functions.draws import signs
 from cuetrace.functions.means import ratio
-from cuetrace.operators.reshape import frame_column, spread_frames
 from cuetrace.params import Params
 
+SUBJECTS_PER_BLOCK = 256       # bounds the matrix of signs
+PERMUTATIONS_PER_BATCH = 500   # bounds a batch of sums
+
 
 def frame_f(d: DataFrame) -> DataFrame:
     """Per (signal, frame): n and the repeated-measures F of observed against random."""
@@ -25,27 +29,44 @@ def frame_f(d: DataFrame) -> DataFrame:
 def permutation_f(d: DataFrame, permutations: int, p: Params) -> DataFrame:
     """F per (signal, perm, frame) under random signs per (perm, subject); perm 0 is the data.
 
-    Subjects are spread over tasks, one row of frame columns each. A task draws one sign per
-    (perm, subject) and adds the signed row to its partial sums, which are one row per perm;
-    only these are shuffled. Sums of squares do not depend on the signs and are taken once.
+    Subjects are spread over tasks, one row of frames each. A task draws the signs of each subject
+    and adds the signed rows up in numpy, one matrix product per block of subjects; only its sums, one per
+    perm and frame, are shuffled. Sums of squares do not depend on the signs and are taken once.
     """
-    spark = d.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    columns = {frame: frame_column(frame) for frame in p.frames}
-    subjects = spread_frames(d, ["signal", "SubNr"], "d", p.frames).repartition(tasks)
-    flip = F.when(F.col("perm") == 0, F.lit(1.0)).otherwise(
-        sign(F.lit(p.seed), F.col("signal"), F.col("perm"), F.col("SubNr")))
-    sums = (subjects
-            .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-            .withColumn("flip", flip)
-            .groupBy("signal", "perm")
-            .agg(*[F.sum(F.col("flip") * F.col(c)).alias(c) for c in columns.values()]))
-    rows = sums.select("signal", "perm", F.inline(F.array(*[
-        F.struct(F.lit(frame).alias("cueFrame"), F.col(c).alias("s")) for frame, c in columns.items()])))
+    first, size = p.first_frame, len(p.frames)
+    inside = d.filter(F.col("d").isNotNull() & F.col("cueFrame").between(p.first_frame, p.last_frame))
+    cells = F.collect_list(F.struct("cueFrame", "d"))  # at most one per frame
+    subjects = inside.groupBy("signal", "SubNr").agg(cells.alias("c")).select(
+        "signal", "SubNr", F.col("c.cueFrame").alias("at"), F.col("c.d").alias("d"))
+
+    def partial(batches):
+        sums = {}
+        for batch in batches:
+            for signal, rows in batch.groupby("signal"):
+                total = sums.setdefault(signal, np.zeros((permutations, size)))
+                for start in range(0, len(rows), SUBJECTS_PER_BLOCK):
+                    block = rows.iloc[start:start + SUBJECTS_PER_BLOCK]
+                    values = np.zeros((len(block), size))
+                    for row, at, x in zip(values, block["at"], block["d"]):
+                        if len(set(at)) < len(at):
+                            raise ValueError("more than one value per cell")
+                        row[np.asarray(at) - first] = x
+                    flips = np.array([signs(p.seed, signal, permutations, s) for s in block["SubNr"]])
+                    flips[:, 0] = 1.0
+                    total += flips.T @ values
+        for signal, total in sums.items():
+            for start in range(0, permutations, PERMUTATIONS_PER_BATCH):
+                part = total[start:start + PERMUTATIONS_PER_BATCH]
+                perm, frame = np.indices(part.shape)
+                yield pd.DataFrame({"signal": signal, "perm": perm.ravel() + start,
+                                    "cueFrame": frame.ravel() + first, "s": part.ravel()})
+
+    rows = (subjects.mapInPandas(partial, "signal string, perm int, cueFrame int, s double")
+            .groupBy("signal", "perm", "cueFrame").agg(F.sum("s").alias("s")))
     # One row per signal and frame of the window, however many subjects there are.
     frames = d.groupBy("signal", "cueFrame").agg(
         F.count("d").cast("double").alias("n"), F.sum(F.col("d") * F.col("d")).alias("q"))
-    mean = F.col("s") / F.col("n")
+    mean = ratio(F.col("s"), F.col("n"))
     square = F.col("n") * mean * mean
     return (rows.join(F.broadcast(frames), ["signal", "cueFrame"])
             .select("signal", "perm", "cueFrame",

@@ -4,25 +4,37 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
 BINS = 65_536
+MAX_GROUPS = 10_000  # their bounds are kept on the driver
 
 
-def group_quantiles(df: DataFrame, value: str, by: str, probs: list[float], *, bins: int = BINS) -> DataFrame:
+def collect_groups(groups: DataFrame) -> list[Row]:
+    """Rows of `groups`; more than `MAX_GROUPS` are refused."""
+    rows = groups.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"quantiles of more than {MAX_GROUPS} groups")
+    return rows
+
+
+def group_quantiles(df: DataFrame, value: str, by: str, probs: list[float], *, bins: int = BINS,
+                    bounds: list[tuple] | None = None) -> DataFrame:
     """Columns `by`, prob, quantile: linear interpolation between order statistics (type 7).
 
     Spark's exact `percentile` holds all distinct values of a group in one buffer. Here each
     pass counts the values of the open ranges in equal bins (combined before the shuffle, at
     most `bins` rows per range) and keeps the bin holding the wanted rank, until it has a
-    single value. Groups are conditions, so the driver sees a few numbers per pass.
+    single value. Groups are conditions, so the driver sees a few numbers per pass. `bounds` may
+    give what the first pass finds: (group, count, smallest, largest) for each group with a value.
     """
     spark = df.sparkSession
     rows = df.select(by, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    groups = rows.groupBy(by).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    if bounds is None:
+        bounds = collect_groups(rows.groupBy(by).agg(F.count("x"), F.min("x"), F.max("x")))
     found: dict[tuple, float] = {}
     wanted, ranges, sizes = [], {}, {}
-    for group, n, lo, hi in groups.collect():
+    for group, n, lo, hi in bounds:
         sizes[group] = n
         for prob in probs:
             at = (n - 1) * prob

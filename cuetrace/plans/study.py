@@ -8,7 +8,7 @@ from cuetrace.operators import averaging, baseline, behaviour, density, exclusio
 from cuetrace.operators import permutation, reshape, smoothing, summary, surrogate
 from cuetrace.params import Params
 from cuetrace.schema import EXPERIMENT, ITEM_LEFT, ITEM_RIGHT, MEASURES, PHASE, SEQ, SIGNALS, TRIAL
-from cuetrace.workspace import materialize
+from cuetrace.workspace import delete_stored, materialize
 
 ALL_SIGNALS = list(SIGNALS)
 
@@ -31,6 +31,14 @@ class Study:
         self._means: dict[str, DataFrame] = {}
         self._permuted: dict[tuple, DataFrame] = {}
 
+    def close(self) -> None:
+        """Delete what this study has stored (not `rows`). Results read from it cannot run afterwards;
+        a later call stores anew. `workspace.clear` deletes all tables of the application."""
+        for stored in [self._bad, *self._means.values(), *self._permuted.values()]:
+            if stored is not None:
+                delete_stored(stored)
+        self._bad, self._means, self._permuted = None, {}, {}
+
     # exclusion
 
     def bad_trials(self) -> DataFrame:

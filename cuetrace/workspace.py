@@ -1,4 +1,4 @@
-"""The shared folder for intermediate tables, and size-checked broadcasts."""
+"""The shared folder for intermediate tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,7 +61,19 @@ def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast if `df` has at most `max_rows` rows, else leave the join to the planner."""
-    fits = df.limit(max_rows + 1).agg(F.count(F.lit(1))).first()[0] <= max_rows
-    return F.broadcast(df) if fits else df
+def delete_stored(df: DataFrame) -> None:
+    """Delete a table written by `materialize`; nothing that reads it can run afterwards."""
+    spark = df.sparkSession
+    own = f"/cuetrace/{spark.sparkContext.applicationId}/"
+    for name in {file.split(own)[1].split("/")[0] for file in df.inputFiles() if own in file}:
+        _delete(spark, f"{shared_folder(spark)}{own}{name}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored in the shared folder."""
+    _delete(spark, f"{shared_folder(spark)}/cuetrace/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -86,3 +86,17 @@ def test_limits_censor(spark):
     assert got[0] == pytest.approx((0.0, 0.1, 0.05, 0.15))
     assert got[1][:2] == (100.0, 0.5) and got[1][3] is None
     assert got[2] == (None, None, None, None)
+
+
+def test_points_are_not_shuffled(spark):
+    df = points(spark, [("item R", 10.0, -20.0), ("item R", 10.0, 3.0), ("item L", 1.0, 0.0)])
+    for by_item in (density.density_2d(df, P), density.density_1d(df, P)):
+        plan = by_item._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan.split("MapInPandas")[1] and "Exchange" in plan
+
+
+def test_too_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MAX_GROUPS", 2)
+    df = spark.createDataFrame([(g, 1.0) for g in "abc"], "g string, x double")
+    with pytest.raises(ValueError, match="more than 2 groups"):
+        quantiles.group_quantiles(df, "x", "g", [0.5])

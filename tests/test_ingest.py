@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from cuetrace.operators import numbering, reshape
 from cuetrace.schema import RECORDING
 from cuetrace.sources import recordings, trace
-from cuetrace.workspace import broadcast_within, materialize, shared_folder
+from cuetrace.workspace import delete_stored, materialize, shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,12 +96,14 @@ def test_spread(spark):
         reshape.spread_frames(long.union(long), ["SubNr"], "v", [-1, 0, 1]).collect()
 
 
-def test_broadcast_only_below_the_bound(spark):
-    df = spark.range(100)
-    assert "strategy=broadcast" in broadcast_within(df, 100)._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" not in broadcast_within(df, 99)._jdf.queryExecution().analyzed().toString()
-
-
 def test_stored_tables_lie_in_the_shared_folder(spark):
     stored = materialize(spark.range(5), "five")
     assert all(shared_folder(spark).split("://")[-1].split(":")[-1] in f for f in stored.inputFiles())
+
+
+def test_a_stored_table_can_be_deleted(spark):
+    kept, gone = materialize(spark.range(5), "kept"), materialize(spark.range(5), "gone")
+    folder = Path(gone.inputFiles()[0].removeprefix("file:")).parent
+    delete_stored(gone)
+    assert not folder.exists() and kept.count() == 5
+    delete_stored(spark.range(3))

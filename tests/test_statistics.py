@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuetrace import Params
-from cuetrace.functions import student
+from cuetrace.functions import draws, student
 from cuetrace.functions.draws import normal, sign, uniform
 from cuetrace.functions.means import strict_mean
 from cuetrace.operators import behaviour, inference, permutation, summary, surrogate
@@ -246,3 +246,8 @@ def test_family_wise_error_and_power(spark):
     assert sum(f"s{k}" in found for k in range(40)) <= 6
     for k in range(40, 50):
         assert {2, 3, 4} <= found[f"s{k}"]
+
+
+def test_signs_in_a_task_are_those_of_the_column(spark):
+    drawn = spark.range(200).select(draws.sign(F.lit(22), F.lit("gaze"), F.col("id").cast("int"), F.lit(7)))
+    assert [r[0] for r in drawn.collect()] == draws.signs(22, "gaze", 200, 7)
