@@ -16,8 +16,8 @@ smallest doc_id reachable by links.
    connected already. Pairs of leaves are verified on the sets themselves.
 4. Components of the verified links.
 
-The frequent shingles are found in each batch of documents; they only order the search, the result is the same
-with any others. Words are lower-cased (A-Z) and cut at white space. With fewer words than a shingle has, the whole
+The frequent shingles are counted in each batch of documents, and the `FREQUENT` most frequent are broadcast. They
+order the search and are salted where shingles are brought together; the result is the same with any others. Words are lower-cased (A-Z) and cut at white space. With fewer words than a shingle has, the whole
 sequence is one shingle; without words the set is empty and linked with nothing. Rows with equal doc_id are one
 node of the links; a null doc_id is linked with nothing and keeps a null component. Extra columns are ignored.
 """
@@ -40,8 +40,10 @@ BLOCK = 4096
 BITS = 1024
 FANOUT = 8
 COMMON = 1000  # one in so many documents of a batch, and at least 8, make a shingle frequent
+FREQUENT = 1 << 18  # 2 MB of hashes
+SALTS = 64
 
-SKETCHES = "doc_id long, n_shingles long, print1 long, print2 long, prefix array<long>"
+SKETCHES = "doc_id long, n_shingles long, print1 long, print2 long, plain int, prefix array<long>"
 LINKS = "a long, b long"
 
 
@@ -84,14 +86,16 @@ def shared_least(n: np.ndarray) -> np.ndarray:
 
 
 def frequent_shingles(documents: DataFrame) -> np.ndarray:
-    """Hashes of shingles that are frequent in some batch; at most COMMON times a document's shingles in number."""
+    """Hashes of the shingles that most documents hold, in ascending order; at most FREQUENT."""
     def run(batches):
         for batch in batches:
             parts = [shingle_sets(part.column("text")).hashes for part in chunks(batch, "text")]
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield {"h": values[counts >= max(8, batch.num_rows // COMMON)].view(np.int64)}
+            often = counts >= max(8, batch.num_rows // COMMON)
+            yield {"h": values[often].view(np.int64), "n": counts[often]}
 
-    found = arrow_map(documents.select("text"), run, "h long").distinct()
+    found = arrow_map(documents.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = found.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h")
     return np.sort(found.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -109,7 +113,7 @@ def _ordered(s: Sets, late: np.ndarray) -> Sets:
 
 
 def sketches(documents: DataFrame, late, percent: int) -> DataFrame:
-    """Each document's number of shingles, two fingerprints of its set, and its first shingles."""
+    """Each document's number of shingles, two fingerprints of its set, and its first shingles, `plain` ones first."""
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -128,8 +132,10 @@ def sketches(documents: DataFrame, late, percent: int) -> DataFrame:
                 take = np.repeat(s.bounds[:-1] - begins, size) + np.arange(size.sum())
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begins, size.sum()).astype(np.int32)),
                                                  pa.array(s.hashes[take].view(np.int64)))
+                often = np.concatenate([[0], np.cumsum(_member(s.hashes, late.value))])
+                plain = n - (often[s.bounds[1:]] - often[s.bounds[:-1]])
                 yield {"doc_id": part.column("doc_id"), "n_shingles": n, "print1": prints[0], "print2": prints[1],
-                       "prefix": lists}
+                       "plain": np.minimum(plain, size), "prefix": lists}
 
     return store(arrow_map(documents.select("doc_id", "text"), run, SKETCHES), "sketches")
 
@@ -265,9 +271,13 @@ class _Group:
 
 def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that share first shingles, also through others."""
-    head = reps.select("doc_id", "n_shingles", F.explode("prefix").alias("h")).repartition("h")
-    by_shingle = W.partitionBy("h").orderBy("doc_id")
-    beside = F.coalesce(F.lag("doc_id").over(by_shingle), F.lead("doc_id").over(by_shingle)).isNotNull()
+    # A frequent shingle is dealt over SALTS tasks and counts as shared.
+    salt = F.when(F.col("pos") >= F.col("plain"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
+    head = reps.select("doc_id", "n_shingles", "plain", F.posexplode("prefix").alias("pos", "h")).select(
+        "doc_id", "n_shingles", "h", salt.cast("int").alias("salt")).repartition("h", "salt")
+    by_shingle = W.partitionBy("h", "salt").orderBy("doc_id")
+    beside = (F.col("salt") > 0) | F.coalesce(
+        F.lag("doc_id").over(by_shingle), F.lead("doc_id").over(by_shingle)).isNotNull()
     shared = store(head.withColumn("beside", beside).filter("beside").drop("beside"), "shared-shingles")
     # A partner has at least `percent` of this size, so both look at enough shingles to share this many.
     least = F.floor(F.ceil(F.col("n_shingles") * percent / 100) / 10) + 1
@@ -280,9 +290,11 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     rare = held.join(number, "h").withColumn("place", place).filter(
         F.col("place") <= F.col("n") - F.col("least") + 1)
     first = F.first("doc_id").over(by_shingle.rowsBetween(W.unboundedPreceding, W.currentRow))
-    links = rare.select("h", "doc_id").repartition("h").select(
-        first.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
-    return components(links)
+    stars = store(rare.select("h", "salt", "doc_id").repartition("h", "salt").select(
+        "h", "salt", first.alias("a"), F.col("doc_id").alias("b")).filter("a <> b or salt > 0"), "stars")
+    # The first classes of a shingle's salts, at most SALTS, are linked as well.
+    firsts = stars.filter("a = b").select("h", F.min("b").over(W.partitionBy("h")).alias("a"), "b")
+    return components(stars.select("a", "b").union(firsts.select("a", "b")).filter("a <> b").distinct())
 
 
 def _tasks(groups: DataFrame, block: int) -> DataFrame:
@@ -344,7 +356,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = PERCENT, block: int
     filled = known.filter("n_shingles > 0 and doc_id is not null")
     classes = store(filled.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi")
-    groups = candidate_groups(reps.select("doc_id", "n_shingles", "prefix"), percent)
+    groups = candidate_groups(reps.select("doc_id", "n_shingles", "plain", "prefix"), percent)
     links = verified_links(documents, _tasks(groups, block), late, percent)
     # Rows of one doc_id with different sets are one node.
     own = known.select("doc_id", *same).join(classes, same, "left")
