@@ -390,10 +390,13 @@ FROM d1 r JOIN d1 l ON r.i = l.i WHERE r.item = 'item R' AND l.item = 'item L'""
         "fig_density": query(GRID, f"""SELECT 'raster' AS layer, x::DOUBLE AS x, y::DOUBLE AS y, {r("density", "density")} FROM dmap
 UNION ALL SELECT 'path', {r("c + 25 * cos(range * 2 * pi() / 99)", "x")}, {r("25 * sin(range * 2 * pi() / 99)", "y")}, NULL
 FROM range(100), (VALUES (-100.0::DOUBLE), (100.0::DOUBLE)) v(c)
-UNION ALL SELECT 'point', c, 0.0, NULL FROM (VALUES (-100.0::DOUBLE), (100.0::DOUBLE)) v(c)"""),
+UNION ALL SELECT 'point', c, 0.0, NULL FROM (VALUES (-100.0::DOUBLE), (100.0::DOUBLE)) v(c)
+UNION ALL SELECT 'horizontal', c, 0.0, NULL FROM (VALUES (-6.0::DOUBLE), (6.0::DOUBLE)) v(c)
+UNION ALL SELECT 'vertical', 0.0, c, NULL FROM (VALUES (-6.0::DOUBLE), (6.0::DOUBLE)) v(c)"""),
         "fig_behaviour": query(WITHIN, f"""SELECT ExpNr AS exp_nr, measure, item, 'bar' AS layer, 'all' AS subject, {r("mean", "y")},
 {r("mean - ci", "ymin")}, {r("mean + ci", "ymax")} FROM summ
-UNION ALL SELECT ExpNr, measure, item, 'point', SubNr::VARCHAR, {r("value", "y")}, NULL, NULL FROM blong"""),
+UNION ALL SELECT ExpNr, measure, item, 'point', SubNr::VARCHAR, {r("value", "y")}, NULL, NULL FROM blong
+UNION ALL SELECT DISTINCT ExpNr, measure, NULL, 'chance', 'all', 45.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM summ WHERE measure = 'error'"""),
     }
     for key, mean in (("excl_overall", f"avg({share})"),
                       ("excl_overall_all_subjects", f"sum({share}) / (SELECT count(DISTINCT SubNr) FROM trace)")):

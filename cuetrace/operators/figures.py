@@ -28,6 +28,9 @@ MARK_HEIGHT = {
     "yaw": -0.08,
 }
 OVERLAY_MARK_HEIGHT = {"eye": -0.4, "head": -0.2}
+# Arm of the cross at the centre of the density figure, and the error of a guess.
+CROSS_ARM = 6.0
+CHANCE = {"error": 45.0}
 
 
 def ribbon(summary: DataFrame) -> DataFrame:
@@ -62,7 +65,8 @@ def overlay(summaries: dict[str, DataFrame]) -> DataFrame:
 
 
 def behaviour_bars(summary: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Bars with mean +- ci (`layer` = bar) and one point per subject (`layer` = point)."""
+    """Bars with mean +- ci (`layer` = bar), one point per subject (`layer` = point), and the level of guessing of
+    the measures that have one (`layer` = chance)."""
     keys = [EXPERIMENT, "measure", "item"]
     none = F.lit(None).cast("double")
     bars = summary.select(
@@ -72,7 +76,11 @@ def behaviour_bars(summary: DataFrame, subjects: DataFrame) -> DataFrame:
     points = subjects.select(
         *keys, F.lit("point").alias("layer"), F.col("SubNr").cast("string").alias("subject"), F.col("value").alias("y"),
         none.alias("ymin"), none.alias("ymax"))
-    return bars.unionByName(points)
+    levels = F.create_map(*[F.lit(v) for pair in CHANCE.items() for v in pair])
+    chance = summary.select(EXPERIMENT, "measure").distinct().select(
+        EXPERIMENT, "measure", F.lit(None).cast("string").alias("item"), F.lit("chance").alias("layer"),
+        F.lit("all").alias("subject"), levels[F.col("measure")].alias("y"), none.alias("ymin"), none.alias("ymax"))
+    return bars.unionByName(points).unionByName(chance.filter(F.col("y").isNotNull()))
 
 
 def marks(significant: DataFrame, height: Column) -> DataFrame:
@@ -92,7 +100,8 @@ def circles(spark: SparkSession, centres: tuple[float, ...] = (-100.0, 100.0), r
 
 
 def density_figure(raster: DataFrame) -> DataFrame:
-    """The density raster and, as further layers, the two item outlines and their centres."""
+    """The density raster and, as further layers, the two item outlines, their centres, and the ends of the two
+    lines that cross in the middle."""
     none = F.lit(None).cast("double")
     rings = circles(raster.sparkSession)
     tiles = raster.select(F.lit("raster").alias("layer"), F.col("x").cast("double").alias("x"),
@@ -101,4 +110,8 @@ def density_figure(raster: DataFrame) -> DataFrame:
     centre = rings.filter(F.col("i") == 0).select(
         F.lit("point").alias("layer"), F.col("centre").alias("x"), F.lit(0.0).alias("y"),
         none.alias("density"))
-    return tiles.unionByName(path).unionByName(centre)
+    arms = {"horizontal": [(-CROSS_ARM, 0.0), (CROSS_ARM, 0.0)], "vertical": [(0.0, -CROSS_ARM), (0.0, CROSS_ARM)]}
+    ends = F.inline(F.array(*[F.struct(F.lit(layer).alias("layer"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+                              for layer, points in arms.items() for x, y in points]))
+    cross = raster.sparkSession.range(1).select(ends).withColumn("density", none)
+    return tiles.unionByName(path).unionByName(centre).unionByName(cross)

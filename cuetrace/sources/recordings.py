@@ -20,6 +20,10 @@ ROUTES = {
 FILE_GLOB = f"*{{{','.join(ROUTES)}}}*?csv*"
 
 
+# How the scripts that pool all experiments number them; option `labels` of `ingest`.
+POOLED_LABELS = {1: 2, 2: 3, 3: 4}
+
+
 def routes(file_name: Column) -> Column:
     """Array of the (experiment, offset) pairs whose name part occurs in `file_name`.
 
@@ -103,13 +107,17 @@ def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
             .drop("offset"))
 
 
-def ingest(spark: SparkSession, folder: str) -> DataFrame:
+def ingest(spark: SparkSession, folder: str, *, labels: dict[int, int] | None = None) -> DataFrame:
     """Read the files of `folder` once, number their rows in file order, add the phase.
 
-    Experiments follow each other, inside them files by name, inside them rows as written.
+    Experiments follow each other, inside them files by name, inside them rows as written. `labels` gives
+    experiments other numbers in the result; subject ids and the order stay.
     """
     staged = materialize(read_recordings(spark, folder), "staged")
     numbered = number_blocks(staged, [EXPERIMENT, "file_name", "file_start"], "file_row", SEQ)
+    if labels:
+        names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+        numbered = numbered.withColumn(EXPERIMENT, F.coalesce(names[F.col(EXPERIMENT)], F.col(EXPERIMENT)))
     return numbered.withColumn(PHASE, F.lit(SAME_PHASE)).select(
         *RECORDING.names, EXPERIMENT, SEQ, PHASE)
 

@@ -35,7 +35,7 @@ def test_density_integrates_to_one_and_map_is_the_difference(spark):
     assert (one.x, one.y, one.x_cm) == (-24, 25, -200.0) and one.y_cm == pytest.approx(200)
     assert raster.count() == 2500
     layers = {r.layer: r["count"] for r in figures.density_figure(raster).groupBy("layer").count().collect()}
-    assert layers == {"raster": 2500, "path": 200, "point": 2}
+    assert layers == {"raster": 2500, "path": 200, "point": 2, "horizontal": 2, "vertical": 2}
 
 
 def test_line_density_against_numpy(spark):
