@@ -6,7 +6,13 @@ documents estimates how often each labeller is right; from that follows each doc
 being bad. With these probabilities as labels a linear scorer over hashed words and votes is trained, and
 scores every document. Documents with a score of 1/2 or more in either are rejected.
 
-The lexicon of toxic words and the scorer are fitted on at most `SAMPLE` labelled documents, those with the
+The toxic labellers weigh the words of a lexicon. It holds stems, which are whole words and their first `STEMS`
+bytes, so that rare forms of a word count together. A stem's weight is the lower bound of its log-odds of toxic
+against clean documents (smoothed, `DEVIATIONS` standard errors off); there is no least count. The toxic labels are
+also what the toxic scorer learns. For that each labelled document gets its votes from a lexicon made without its own
+fifth of the labels, so that the scorer sees votes as reliable as those of unseen documents.
+
+The lexicon and the scorer are fitted on at most `SAMPLE` labelled documents, those with the
 smallest hashes of doc_id. The votes are counted over all documents.
 
 A null or empty text has no words; it counts as junk. A label row with a null is not used; of repeated labels of
@@ -31,13 +37,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SAMPLE = 6_000
 BUCKETS = 1 << 16
-LEXICON_DOCUMENTS, LEXICON_PRECISION = 5, 0.9
+STEMS = (4, 5, 6, 7, 8)
+DEVIATIONS, LEAST_WEIGHT, FOLDS = 2.0, 1.0, 5
 FALSE_ALARMS, PRIOR_DOCUMENTS = 0.002, 3
 EM_ROUNDS, STEPS, RATE, DECAY = 50, 80, 0.5, 1e-4
 SYMBOLS = b"#*$%&@^~<>{}\\"
 
 JUNK = ("symbols", "pipes", "shouting", "repeats", "letters", "bare_marks", "variety", "empty")
-TOXIC = ("any_word", "some_words", "share_of_words")
+TOXIC = ("little_evidence", "some_evidence", "much_evidence", "share_of_words")
 
 
 @dataclass
@@ -48,14 +55,32 @@ class Features:
     toxic: np.ndarray
     words: np.ndarray
     bounds: np.ndarray
+    stems: np.ndarray  # of each word: itself and its beginnings, 0 for those it is too short for
+
+
+@dataclass
+class Lexicon:
+    """Hashes of toxic stems in ascending order, and their weights."""
+
+    stems: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def weigh(self, stems: np.ndarray) -> np.ndarray:
+        """The largest weight among each word's stems, 0 without any."""
+        best = np.zeros(len(stems))
+        if len(self.stems):
+            for column in stems.T:
+                at = np.minimum(np.searchsorted(self.stems, column), len(self.stems) - 1)
+                np.maximum(best, np.where(self.stems[at] == column, self.weights[at], 0.0), out=best)
+        return best
 
 
 def _three(value: np.ndarray, bad: float, good: float) -> np.ndarray:
     return np.where(value >= bad, 1, np.where(value < good, 0, -1)).astype(np.int8)
 
 
-def features(column: pa.Array, lexicon: np.ndarray) -> Features:
-    """Votes and words of a column of texts; `lexicon`: sorted hashes of toxic words."""
+def features(column: pa.Array, lexicon: Lexicon) -> Features:
+    """Votes and words of a column of texts."""
     plain = words_of(column)
     n_docs = len(plain.offsets) - 1
 
@@ -80,10 +105,16 @@ def features(column: pa.Array, lexicon: np.ndarray) -> Features:
     doc, words = w.doc[order], w.hashes[order]
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (words[1:] != words[:-1])
-    doc, words = doc[fresh], words[fresh]
+    doc, words, order = doc[fresh], words[fresh], order[fresh]
+    bounds = np.searchsorted(doc, np.arange(n_docs + 1))
+    stems = [words]
+    begin, end = w.starts[order], w.ends[order]
+    for size in STEMS:
+        cut = w.span_hashes(begin, np.minimum(begin + size, end)) + np.uint64(size)
+        stems.append(np.where(end - begin >= size, cut, np.uint64(0)))
+    stems = np.stack(stems, axis=1)
     count = np.maximum(1, per_doc(np.ones(len(w.doc)), w.doc))
     variety = per_doc(np.ones(len(doc)), doc) / np.sqrt(count)
-    hits = per_doc(_member(w.hashes, lexicon), w.doc)
     junk = np.stack([
         _three(per_doc(is_symbol[plain.data], byte_doc) / sizes, 0.01, 0.002),
         _three(per_doc((first == 0x7C) & (length == 1), plain.doc) / n_words, 0.05, 0.005),
@@ -94,18 +125,21 @@ def features(column: pa.Array, lexicon: np.ndarray) -> Features:
         np.where(count < 50, -1, np.where(variety < 3.0, 1, 0)).astype(np.int8),
         np.where(np.bincount(w.doc, minlength=n_docs) == 0, 1, -1).astype(np.int8),
     ], axis=1)
-    toxic = np.stack([
-        (hits >= 1).astype(np.int8),
-        np.where(hits >= 2, 1, np.where(hits == 0, 0, -1)).astype(np.int8),
-        _three(hits / count, 0.005, 1e-12),
+    return Features(junk, toxic_votes(lexicon.weigh(stems), doc, n_docs), words, bounds, stems)
+
+
+def toxic_votes(weights: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Votes of the toxic labellers from the weights of each document's distinct words."""
+    count = np.bincount(doc, minlength=n_docs)
+    evidence = np.bincount(doc, weights=weights, minlength=n_docs)
+    # By chance clean documents hold stems too, and long ones more of them.
+    beyond = evidence / np.sqrt(np.maximum(count, 20))
+    return np.stack([
+        _three(beyond, 0.3, 0.15),
+        _three(beyond, 0.4, 0.3),
+        _three(beyond, 0.5, 0.4),
+        _three(evidence / np.maximum(count, 20), 0.03, 0.01),
     ], axis=1)
-    return Features(junk, toxic, words, np.searchsorted(doc, np.arange(n_docs + 1)))
-
-
-def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
 @dataclass
@@ -176,7 +210,7 @@ def train(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.nda
 
 @dataclass
 class Classifier:
-    lexicon: np.ndarray
+    lexicon: Lexicon
     weak: dict[str, WeakLabels] = field(default_factory=dict)
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
@@ -190,17 +224,51 @@ class Classifier:
         return out
 
 
-def learn_lexicon(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of words that nearly only toxic documents have."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    every, n_all = np.unique(np.concatenate(words), return_counts=True)
-    bad = [w for w, t in zip(words, toxic) if t]
-    if not bad:
-        return np.zeros(0, np.uint64)
-    own, n_bad = np.unique(np.concatenate(bad), return_counts=True)
-    share = n_bad / n_all[np.searchsorted(every, own)]
-    return own[(n_bad >= LEXICON_DOCUMENTS) & (share >= LEXICON_PRECISION)]
+def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """From text, label_toxic and fold: for each fold the lexicon of all other folds, at the end that of all."""
+    def count(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = features(part.column("text"), Lexicon())
+                toxic = part.column("label_toxic").to_numpy() > 0
+                fold = part.column("fold").to_numpy()
+                doc = np.repeat(np.arange(len(toxic)), np.diff(found.bounds))
+                for number in np.unique(fold).tolist():
+                    own = fold[doc] == number
+                    bad = toxic[doc[own]]
+                    stems, at = np.unique(found.stems[own], return_inverse=True)
+                    at = at.reshape(-1, len(STEMS) + 1)
+                    n_bad, n_all = (np.bincount(at[rows].ravel(), minlength=len(stems)) for rows in (bad, slice(None)))
+                    real = stems != 0
+                    # Stem 0 stands for all words.
+                    yield {"stem": np.append(stems[real].view(np.int64), 0),
+                           "fold": np.full(real.sum() + 1, number),
+                           "bad": np.append(n_bad[real], bad.sum()),
+                           "good": np.append((n_all - n_bad)[real], (~bad).sum())}
+
+    parts = [F.when(F.col("fold") != k, F.col(c)).otherwise(0) for c in ("bad", "good") for k in range(FOLDS + 1)]
+    names = [f"{c}{k}" for c in ("bad", "good") for k in range(FOLDS + 1)]
+    counts = store(arrow_map(sample, count, "stem long, fold int, bad long, good long").groupBy("stem").agg(
+        *(F.sum(part).alias(name) for part, name in zip(parts, names))), "stem-counts")
+    total = counts.filter("stem = 0").first()
+    if total is None:
+        return [Lexicon()] * (FOLDS + 1)
+
+    def bound(k: int) -> Column:
+        bad, good = F.col(f"bad{k}") + 0.5, F.col(f"good{k}") + 0.5
+        odds = F.log(bad / good) + F.lit(float(np.log((total[f"good{k}"] + 1) / (total[f"bad{k}"] + 1))))
+        return F.when(F.col(f"bad{k}") > 0, odds - DEVIATIONS * F.sqrt(1 / bad + 1 / good)).otherwise(-1.0)
+
+    weights = [bound(k).alias(f"w{k}") for k in range(FOLDS + 1)]
+    kept = counts.filter("stem <> 0 and bad%d > 0" % FOLDS).select("stem", *weights).filter(
+        F.greatest(*(F.col(f"w{k}") for k in range(FOLDS + 1))) >= LEAST_WEIGHT).collect()
+    stems = np.array([r["stem"] for r in kept], np.int64).view(np.uint64)
+    order = np.argsort(stems)
+    out = []
+    for k in range(FOLDS + 1):
+        own = np.array([r[f"w{k}"] for r in kept], float)[order]
+        out.append(Lexicon(stems[order][own >= LEAST_WEIGHT], own[own >= LEAST_WEIGHT]))
+    return out
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -208,28 +276,38 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label_quality"), F.max("toxic").alias("label_toxic"))
     chosen = store(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "label-sample")
-    return documents.select("doc_id", "text").join(chosen, "doc_id")
+    # Equal texts are in one fold.
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    return store(documents.select("doc_id", "text", fold).join(chosen, "doc_id"), "labelled")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    empty = np.zeros(0, np.uint64)
+    known = labelled_sample(documents, labels, sample)
+    *others, lexicon = learn_lexicons(known)
 
     def words(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = features(part.column("text"), empty)
-                yield {"toxic": part.column("label_toxic"), "junk": pa.array(found.junk.tolist()),
+                found = features(part.column("text"), Lexicon())
+                doc = np.repeat(np.arange(len(part)), np.diff(found.bounds))
+                fold = part.column("fold").to_numpy()
+                weights = np.zeros(len(doc))
+                for number in np.unique(fold).tolist():
+                    own = fold[doc] == number
+                    weights[own] = others[number].weigh(found.stems[own])
+                toxic = toxic_votes(weights, doc, len(part))
+                yield {"label": part.column("label_toxic"), "junk": pa.array(found.junk.tolist()),
+                       "toxic": pa.array(toxic.tolist()),
                        "words": [found.words[a:b].tobytes() for a, b in zip(found.bounds, found.bounds[1:])]}
 
-    schema = "toxic long, junk array<int>, words binary"
-    rows = arrow_map(labelled_sample(documents, labels, sample), words, schema).collect()  # at most `sample` rows
+    schema = "label long, junk array<int>, toxic array<int>, words binary"
+    rows = arrow_map(known, words, schema).collect()  # at most `sample` labels
+    labelled = bool(rows)
     if not rows:
-        some = documents.select("text", F.lit(0).alias("label_toxic")).orderBy(F.xxhash64("text")).limit(sample)
-        rows = arrow_map(some, words, schema).collect()
+        some = documents.select("text", F.lit(0).alias("fold"), F.lit(0).alias("label_toxic"))
+        rows = arrow_map(some.orderBy(F.xxhash64("text")).limit(sample), words, schema).collect()
     each = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    model = Classifier(learn_lexicon(each, np.array([r["toxic"] for r in rows])))
-
-    lexicon = model.lexicon
+    model = Classifier(lexicon)
 
     def votes(batches):
         for batch in batches:
@@ -243,19 +321,18 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classi
     patterns = arrow_map(documents.select("text"), votes, "junk array<int>, toxic array<int>, n long").groupBy(
         "junk", "toxic").agg(F.sum("n").alias("n")).collect()
     bounds = np.concatenate([[0], np.cumsum([len(w) for w in each])]).astype(np.int64)
-    hits = np.array([_member(w, lexicon).sum() for w in each], np.int64)
-    sampled = {"junk": np.array([r["junk"] for r in rows], np.int8).reshape(-1, len(JUNK)),
-               "toxic": np.stack([hits >= 1, np.where(hits >= 2, 1, np.where(hits == 0, 0, -1)),
-                                  _three(hits / np.maximum(1, np.diff(bounds)), 0.005, 1e-12)],
-                                 axis=1).astype(np.int8) if len(rows) else np.zeros((0, len(TOXIC)), np.int8)}
-    flat = np.concatenate(each) if each else empty
+    sampled = {name: np.array([r[name] for r in rows], np.int8).reshape(-1, len(labellers))
+               for name, labellers in (("junk", JUNK), ("toxic", TOXIC))}
+    flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
     for name in ("junk", "toxic"):
         counts: Counter = Counter()
         for row in patterns:
             counts[tuple(v - 1 for v in row[name])] += row["n"]
         model.weak[name] = WeakLabels.fit(counts)
-        model.weights[name] = train(*hashed(sampled[name], flat, bounds),
-                                    model.weak[name].posterior(sampled[name]))
+        target = model.weak[name].posterior(sampled[name])
+        if name == "toxic" and labelled:
+            target = np.array([r["label"] > 0 for r in rows], float)
+        model.weights[name] = train(*hashed(sampled[name], flat, bounds), target)
     return model
 
 

@@ -261,6 +261,18 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([(r["toxic_score"] >= 0.5) == bool(r["toxic"]) for r in scored]) > 0.85
 
 
+@pytest.mark.parametrize("size, languages, least", [("sf0.1", ("de", "en", "es", "fr"), 0.8), ("sf0.01", ("de", "es"), 0.8)])
+def test_toxic_recall_in_each_language(spark, size, languages, least):
+    from cuetrace.llm.jobs import table
+    documents, labels = (table(spark, f"/root/testdata/{size}", t) for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    scored = quality.classify(documents, labels.filter(half == 0)).join(labels.filter(half == 1), "doc_id").collect()
+    for language in languages:
+        own = [(r["toxic_score"] >= 0.5, bool(r["toxic"])) for r in scored if r["lang"] == language]
+        assert np.mean([found for found, toxic in own if toxic]) >= least, language
+        assert np.mean([not found for found, toxic in own if not toxic]) >= 0.95, language
+
+
 def test_quality_edges(spark, documents, nothing):
     labels = spark.createDataFrame([(0, 1, 0), (None, 1, 0), (1, None, 1), (0, 0, 0)],
                                    "doc_id long, quality int, toxic int")
