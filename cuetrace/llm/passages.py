@@ -9,6 +9,8 @@ phrase of `PHRASE` words with the smallest hash in them, so a window can recur o
 4. shards of anchors compile automata. A shard confirms the windows that several of its segments have, writes each
    as four letters of five words, and streams these segments through the automaton, in five phases. Each
    occurrence is checked word by word and compared with the window's first place in the corpus;
+   Anchors with more than `HOT_SEGMENTS` distinct segments, as the edges of a passage in very many documents have, go
+   into no shard. Their windows are compared by hash on Spark, the first places and counts combined before the shuffle;
 5. windows that started earlier are removed: all of a segment's later copies, and those marked in its first place.
 
 A null or empty text has no words. Rows with equal doc_id are ordered by their texts' hashes; equal rows are treated
@@ -30,10 +32,12 @@ WINDOW = 20
 PHRASE = 6
 LETTER = 5  # words
 SHARD_SEGMENTS = 20_000
+HOT_SEGMENTS = 5_000  # of an anchor
 DOC = ["doc_id", "text_hash"]
 
 ANCHORS = "doc_id long, text_hash long, anchor int, h long"
 SEGMENTS = "h long, doc_id long, text_hash long, start int, n_windows int, words string"
+WINDOWS = "h long, window long, doc_id long, text_hash long, start int"
 MARKS = "doc_id long, text_hash long, starts array<int>"
 KEPT = "doc_id long, text_hash long, n_words long, n_removed long, kept string"
 
@@ -175,6 +179,33 @@ def marks(distinct: DataFrame) -> DataFrame:
     return arrow_map(distinct.repartition("h").sortWithinPartitions("h"), run, MARKS)
 
 
+def hot_anchors(distinct: DataFrame) -> DataFrame:
+    """The anchors with too many distinct segments for a shard."""
+    return store(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > HOT_SEGMENTS).select("h"), "hot-anchors")
+
+
+def marks_of_hot(distinct: DataFrame) -> DataFrame:
+    """As `marks`, row by row: the windows are known by the hashes of anchor and window."""
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "words"):
+                w = words_of(part.column("words"))
+                windows = grams(w.hashes, list(range(WINDOW)))
+                at = np.arange(len(windows))
+                at = at[w.doc[at] == w.doc[at + WINDOW - 1]]
+                rows = w.doc[at]
+                start = part.column("start").to_numpy()[rows] + at - w.bounds()[rows]
+                yield {"window": windows[at].view(np.int64), "start": start,
+                       **{c: part.column(c).take(pa.array(rows)) for c in ("h", *DOC)}}
+
+    windows = arrow_map(distinct, run, WINDOWS)
+    key, place = ["h", "window"], F.struct(*DOC, "start")
+    shared = store(windows.groupBy(*key).agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter(
+        "n > 1").select(*key, "earliest"), "shared-windows")
+    return windows.join(shared, key).filter(place != F.col("earliest")).select(*DOC, F.array("start").alias("starts"))
+
+
 def _plain(documents: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -222,7 +253,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     place = F.struct(*DOC, "start")
     distinct = store(cut.groupBy("h", "words_hash").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words")), "distinct")
-    in_first = marks(distinct.select("h", "first.*", "words"))
+    firsts, hot = distinct.select("h", "first.*", "words"), hot_anchors(distinct)
+    in_first = marks(firsts.join(hot, "h", "left_anti")).unionByName(marks_of_hot(firsts.join(hot, "h", "left_semi")))
     later = (cut.select("h", "words_hash", *DOC, "start", "n_windows")
              .join(distinct.filter("n > 1").select("h", "words_hash", "first"), ["h", "words_hash"])
              .filter(place != F.col("first")))

@@ -179,6 +179,23 @@ def test_passages(documents, rows, nothing):
     assert passages.remove_repeats(nothing).count() == 0
 
 
+def test_hot_anchors_go_into_no_shard(spark, documents, rows, nothing, words, monkeypatch):
+    passage = words(26)
+    edges = spark.createDataFrame([(100 + i, " ".join(words(25) + passage + words(25)), 1, "x", 2, 3)
+                                   for i in range(30)], DOCS)
+    both = documents.unionByName(edges)
+    all_rows, marks, most = rows + [(r["doc_id"], r["text"]) for r in edges.collect()], passages.marks, []
+
+    def watched(distinct):
+        most.append(max((r["count"] for r in distinct.groupBy("h").count().collect()), default=0))
+        return marks(distinct)
+
+    monkeypatch.setattr(passages, "marks", watched)
+    monkeypatch.setattr(passages, "HOT_SEGMENTS", 4, raising=False)
+    test_passages(both, all_rows, nothing)
+    assert max(most) <= 4
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_jaccard(documents, rows, nothing, block):
     sets = defaultdict(set)
