@@ -5,6 +5,8 @@ the smallest ids that can be asked for), points are scaled to length one, and a
 distance to a vantage point, down to leaves. For a query with k-th best distance t, a branch whose
 points are all at least g away (by the triangle inequality) is skipped if `factor` * g > t.
 `factor` = 1 is exact search; larger factors skip more and may miss neighbours.
+Once t is known, a second pass over the tree collects every point up to t, however many there are, and these are
+ranked by cosine and id. Both passes leave `SLACK` for the error of distances, so that ties are all there.
 The results of the shards are merged by score, then id. Queries pass each shard in batches, so a task holds
 one shard and one batch.
 
@@ -26,7 +28,7 @@ from cuetrace.llm.jobs import arrow_map
 SHARD_VECTORS = 16_384
 LEAF = 64
 K = 5
-SLACK = 1e-9  # distances of unit vectors are off by less
+SLACK = 1e-7  # distances of unit vectors are off by less; near zero they are by about 1.5e-8
 BATCH = 1024
 
 FOUND = "query_id long, vec_id long, score double"
@@ -66,6 +68,24 @@ class VantageTree:
         self._visit(self.root, np.arange(len(queries)), queries, best, points, factor)
         return points, best
 
+    def within(self, queries: np.ndarray, reach: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, point) with a distance up to the query's `reach`, but for rounding."""
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self._collect(self.root, np.arange(len(queries)), queries, reach + SLACK, factor, pairs)
+        return tuple(np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+
+    def _collect(self, node, active, queries, reach, factor, pairs) -> None:
+        if not len(active):
+            return
+        if isinstance(node, np.ndarray):
+            at, column = np.nonzero(_distances(queries[active], self.unit[node]) <= reach[active, None])
+            pairs.append((active[at], node[column]))
+            return
+        d = _distances(queries[active], self.unit[node.vantage:node.vantage + 1])[:, 0]
+        for branch, (low, high) in ((node.near, node.near_range), (node.far, node.far_range)):
+            gap = np.maximum(low - d, d - high)
+            self._collect(branch, active[factor * gap <= reach[active] + SLACK], queries, reach, factor, pairs)
+
     def _visit(self, node, active, queries, best, points, factor) -> None:
         if not len(active):
             return
@@ -115,6 +135,9 @@ class _Shard:
         which, ids = which[by_point], ids[by_point]
         fresh = np.concatenate([[True], (which[1:] != which[:-1]) | (ids[1:] != ids[:-1])])
         which, ids = which[fresh], ids[fresh]
+        # Points that one id has at most: so many times k + 1 points hold k + 1 ids, of which one may be the query's.
+        most = int(np.unique(ids, return_counts=True)[1].max())
+        self.n_points = min(len(self.vectors), most * (k + 1))
         begins = np.searchsorted(which, np.arange(len(self.vectors) + 1))
         self.members = [ids[a:min(b, a + k + 1)] for a, b in zip(begins, begins[1:])]
         unit = self.vectors / np.sqrt((self.vectors ** 2).sum(axis=1))[:, None]
@@ -122,15 +145,19 @@ class _Shard:
 
     def search(self, names: np.ndarray, vectors: np.ndarray, factor: float) -> dict:
         unit = vectors / np.sqrt((vectors ** 2).sum(axis=1))[:, None]
-        points, _ = self.tree.search(unit, 2 * self.k, factor)
-        at, column = np.nonzero(points >= 0)
-        found = points[at, column]
+        _, best = self.tree.search(unit, self.n_points, factor)
+        at, found = self.tree.within(unit, best[:, -1], factor)
         sizes = np.array([len(self.members[p]) for p in found], np.int64)
         score = cosine(vectors[at], self.vectors[found])
         at, score = np.repeat(at, sizes), np.repeat(score, sizes)
         ids = np.concatenate([self.members[p] for p in found]) if len(found) else np.zeros(0, np.int64)
         other = ids != names[at]
         at, score, ids = at[other], score[other], ids[other]
+        order = np.lexsort((-score, ids, at))
+        at, score, ids = at[order], score[order], ids[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (at[1:] != at[:-1]) | (ids[1:] != ids[:-1])
+        at, score, ids = at[fresh], score[fresh], ids[fresh]
         order = np.lexsort((ids, -score, at))
         at, score, ids = at[order], score[order], ids[order]
         rank = np.arange(len(at)) - np.searchsorted(at, at)

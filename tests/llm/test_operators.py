@@ -82,6 +82,33 @@ def test_nearest(spark):
     assert vptree.nearest(table.limit(0), asks).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["scaled", "quantised"])
+def test_nearest_keeps_all_ties(spark, kind):
+    random = np.random.default_rng(2)
+    if kind == "scaled":  # powers of two: equal to the last bit; the smallest ids come last in any other order
+        vectors = {i: (2.0 ** (40 - i) * np.array([1.0, 2.0, 3.0, 4.0])).tolist() for i in range(30)}
+        vectors |= {i: random.normal(size=4).tolist() for i in range(30, 300)}
+    else:
+        vectors = {i: v for i, v in enumerate(random.integers(0, 2, (400, 9)).astype(float).tolist()) if any(v)}
+        vectors = {i: (np.array(v) * 2.0 ** random.integers(0, 20)).tolist() for i, v in vectors.items()}
+    table = spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<double>")
+    asked = [i for i in vectors if i % 10 == 0]
+    found = vptree.nearest(table, F.col("vec_id") % 10 == 0).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_cosine(vectors, asked, 5))
+
+
+def test_nearest_with_many_vectors_of_one_id(spark):
+    random = np.random.default_rng(3)
+    vectors = [(0, [1.0, 0.0, 0.0]), *((1, [1.0, 0.001 * i, 0.0]) for i in range(1, 20)),
+               *((i, random.normal(size=3).tolist()) for i in range(2, 40))]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    best = {}
+    for i, v in vectors[1:]:
+        best[i] = max(best.get(i, -2.0), vptree.cosine(np.array([vectors[0][1]]), np.array([v]))[0])
+    expected = [(0, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:5])]
+    assert sorted(map(tuple, vptree.nearest(table, F.col("vec_id") == 0).collect())) == expected
+
+
 def test_template_language():
     render = templates.compile_template("{% for m in ms %}{% if loop.first and not m.x == 'b' %}A{% elif m.x %}"
                                         "{% generation %}{{ m.x | upper + '!' }}{% endgeneration %}{% else %}-"
