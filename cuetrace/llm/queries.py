@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuetrace.llm import chat, decontaminate, jaccard, lines, packing, passages, quality, secret_scan as secrets, vptree, wavelet
+from cuetrace.llm import chat, decontaminate, jaccard, lines, negatives, packing, passages, quality, quality_rules
+from cuetrace.llm import secret_scan as secrets, vptree, wavelet, whitening
 from cuetrace.llm.jobs import arrow_map, table
 from cuetrace.llm.templates import unescape
 
@@ -102,6 +103,27 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white, model, n = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]).cast("array<double>")
+    return white.select(
+        "vec_id", F.lit(n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"),
+        F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.RESULTS)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), moved, F.col("vec_id") % 100 == 0)
+
+
 def build() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_vptree, op2_chat, op3_packing, op4_passages, op5_jaccard, op6_wavelet, op7_secrets, op8_quality,
-                                        op9_decontaminate, op10_lines)}
+    return {f.__name__: f for f in (op1_vptree, op2_chat, op3_packing, op4_passages, op5_jaccard, op6_wavelet,
+                                    op7_secrets, op8_quality, op9_decontaminate, op10_lines, op11_whitening,
+                                    op12_quality_rules, op13_negatives)}
