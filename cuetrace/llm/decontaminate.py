@@ -4,8 +4,9 @@ A seed is a mask: word positions that must agree, with positions between that ma
 masked words of all benchmark items are kept in a table, and every position of every document is looked up. A hit
 fixes how item and document are aligned; they overlap there if some `WINDOW` consecutive aligned words
 differ in at most `SUBSTITUTIONS`. Masks are chosen so that every such overlap has a hit: whichever positions
-of a window differ, some mask placed somewhere in it avoids them. A shorter item must appear whole, with
-proportionally fewer substitutions, and has masks of its own.
+of a window differ, some mask placed somewhere in it avoids them. An item of `LEAST_WORDS` to `WINDOW` words must appear
+whole, with proportionally fewer substitutions, and has masks of its own. A still shorter one says nothing about
+where a text comes from (`Yes.` is in many): it is not searched for, and `short_items` reports it.
 
 Words are runs of letters and digits, ASCII punctuation set aside, A-Z in lower case. The benchmark is taken in
 blocks of about `BLOCK_WORDS` words, each of which meets all documents, so the broadcast is bounded.
@@ -23,12 +24,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cuetrace.llm.jobs import arrow_map
 from cuetrace.llm.words import PUNCTUATION, SPACE, chunks, grams, words_of
 
 WINDOW = 13
+LEAST_WORDS = 4
 SUBSTITUTIONS = 2
 WEIGHT = 6
 MAX_MASKS = 6
@@ -78,10 +80,11 @@ class SeedTable:
     slots: list[np.ndarray]  # which hashes can be there, by their highest bits
 
     @classmethod
-    def of(cls, item_ids: list[int], texts: list[str]) -> SeedTable:
+    def of(cls, item_ids: list[int], texts: list[str], least_words: int = LEAST_WORDS) -> SeedTable:
         w = words_of(pa.array(texts, pa.string()), lower=True, separators=SPACE + PUNCTUATION)
         bounds = w.bounds()
         sizes = np.minimum(np.diff(bounds), WINDOW)
+        sizes[sizes < least_words] = 0
         table = cls(item_ids, w.hashes, bounds, [], [], [], [])
         for size in sorted({int(s) for s in sizes if s}):
             for mask in choose_masks(size, allowed(size)):
@@ -138,22 +141,34 @@ class SeedTable:
         return int(inside[at]), -(low + at + shift - int(doc_begin)), -(low + at - begin), size
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[SeedTable]:
+def _n_words(text: Column) -> Column:
+    """Number of words, as the search cuts them."""
+    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D!-/:-@\[-`{-~]+"), lambda w: w != ""))
+
+
+def short_items(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(item_id, n_words) of the items that are too short to be searched for; a null text has no words."""
+    words = F.coalesce(_n_words(F.col("text")), F.lit(0)).alias("n_words")
+    return benchmark.select("item_id", words).filter(F.col("n_words") < least_words)
+
+
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> Iterator[SeedTable]:
     """Tables of the benchmark's items, each of about `block_words` words."""
-    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    words = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x7f&&[^A-Za-z0-9]]+")))).first()[0] or 0
+    items = benchmark.select("item_id", "text").filter(_n_words(F.col("text")) >= least_words)
+    words = items.agg(F.sum(_n_words(F.col("text")))).first()[0] or 0
     n = max(1, -(-words // block_words))
     for block in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
         if rows:
-            yield SeedTable.of([r["item_id"] for r in rows], [r["text"] for r in rows])
+            yield SeedTable.of([r["item_id"] for r in rows], [r["text"] for r in rows], least_words)
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS,
+             least_words: int = LEAST_WORDS) -> DataFrame:
     """Each document and item that overlap, with the best window."""
     context = documents.sparkSession.sparkContext
     result = None
-    for table in blocks(benchmark, block_words):
+    for table in blocks(benchmark, block_words, least_words):
         shared = context.broadcast(table)
 
         def run(batches, shared=shared):
@@ -172,10 +187,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     return documents.sparkSession.createDataFrame([], OVERLAPS) if result is None else result
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS,
+          least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents without an overlap; nothing is joined, each task drops its own rows."""
     context = documents.sparkSession.sparkContext
-    for table in blocks(benchmark, block_words):
+    for table in blocks(benchmark, block_words, least_words):
         shared = context.broadcast(table)
 
         def run(batches, shared=shared):
