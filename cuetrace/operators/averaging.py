@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cuetrace.functions.means import ratio, strict_mean
 from cuetrace.operators.baseline import in_analysis
+from cuetrace.operators.smoothing import CHUNK_ID
 from cuetrace.params import Params
 from cuetrace.schema import EXPERIMENT, ITEM_LEFT, ITEM_RIGHT, PHASE, TRIAL
 
@@ -18,13 +19,20 @@ def trial_cells(df: DataFrame, signals: list[str], p: Params) -> DataFrame:
     """Sums and counts per (trial, item, frame) of the analysis window.
 
     Combined before the shuffle; afterwards a trial has at most frames x items rows, however
-    many rows it had, so no later step meets a hot trial, block or subject.
+    many rows it had, so no later step meets a hot trial, block or subject. Rows that moving_average has left
+    partitioned by chunk are combined where they lie, and go by subject and block in one exchange, which then
+    serves the cells, the baseline and the block means.
     """
-    return (df.filter(in_analysis(p))
-            .groupBy(*BLOCK_CELL, "trial")
-            .agg(F.count(F.lit(1)).alias("n"),
-                 *[F.sum(s).alias(f"{s}_sum") for s in signals],
-                 *[F.count(s).alias(f"{s}_n") for s in signals]))
+    cell = [*BLOCK_CELL, "trial"]
+    rows = df.filter(in_analysis(p))
+    names = ["n", *[f"{s}_{kind}" for s in signals for kind in ("sum", "n")]]
+    counted = [F.count(F.lit(1)).alias("n")]
+    for s in signals:
+        counted += [F.sum(s).alias(f"{s}_sum"), F.count(s).alias(f"{s}_n")]
+    if CHUNK_ID not in df.columns:
+        return rows.groupBy(*cell).agg(*counted)
+    parts = rows.groupBy(CHUNK_ID, *cell).agg(*counted)
+    return parts.repartition("SubNr", "block").groupBy(*cell).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def block_means(cells: DataFrame, signals: list[str], p: Params) -> DataFrame:

@@ -4,58 +4,108 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuetrace.schema import EXPERIMENT, SEQ, TRIAL
+from cuetrace.workspace import materialize
 
 # Columns at whose change the average starts anew. The reference runs over the whole stream.
 SCOPES = {"stream": [], "experiment": [EXPERIMENT], "trial": TRIAL}
 
-# Rows are windowed in chunks of CHUNK consecutive `seq` values, the rows at chunk edges again
-# in chunks of CHUNK * FAN, and those at the edges of these together: 2 (n - 1) rows per
-# billion `seq` values, 6,000 for 10^12 rows.
+# Rows are windowed in chunks of CHUNK consecutive `seq` values. What a chunk needs of earlier ones is found
+# in the edge table, itself windowed in chunks of CHUNK * FAN, and the edges of these together:
+# n - 1 rows per billion `seq` values, 3,000 for 10^12 rows.
 CHUNK = 32_768
 FAN = 32_768
+CHUNK_ID = "_chunk"
 
 
 def moving_average(
     df: DataFrame, columns: list[str], n: int = 4, *, scope: str = "stream", on_null: str = "error",
-    max_seq: int | None = None, chunk: int = CHUNK, fan: int = FAN,
+    chunk: int = CHUNK, fan: int = FAN, keep_chunk: bool = False,
 ) -> DataFrame:
     """Replace each of `columns` by the mean of its last `n` rows by `seq`; NULL for the first n - 1.
 
     Leading NULLs only delay the first mean. A later NULL fails the job (`on_null="error"`)
     or gives NULL for the rows whose mean it enters (`on_null="null"`).
 
-    One window over the stream would put all rows into one task. Instead a window per chunk
-    is exact for all rows but the first n - 1 of the chunk. These depend on edge rows only
-    (the first and last n - 1 of each chunk), so they are solved by the same window over the
-    edge rows, in larger chunks, and what is left by a last window over the edges of those.
-    If `max_seq`, a bound of `seq`, fits one larger chunk, the middle step is left out.
+    One window over the stream would put all rows into one task. Instead each chunk gets the last n - 1 rows before it
+    as halo rows, from a stored table, and one window per chunk is exact: one exchange and one sort of the rows.
+    With `keep_chunk` the rows keep the column `_chunk`, by which (and the scope's columns) they are partitioned.
     """
+    keys = SCOPES[scope]
+    own = F.floor(F.col(SEQ) / F.lit(chunk)).alias(CHUNK_ID)
     if n == 1:
-        return df
+        return df.select("*", own) if keep_chunk else df
     out = df.columns
-    keys = SCOPES[scope]
-    spans = [chunk, chunk * fan, None]
-    if max_seq is not None and max_seq < chunk * fan:
-        spans.remove(chunk * fan)
-    rows = df.withColumns({"_open": F.lit(True), "_now": F.struct(*columns)})
-    solved = []
-    for span in spans:
-        part = keys if span is None else [*keys, F.floor(F.col(SEQ) / F.lit(span))]
-        order = Window.partitionBy(*part).orderBy(SEQ)
-        # All signals travel in one struct: one lag per earlier row, however many signals.
-        earlier = [f"_lag{k}" for k in range(1, n)]
-        marked = rows.withColumns({
-            **{lag: F.lag("_now", k).over(order) for k, lag in enumerate(earlier, start=1)},
-            "_tail": F.lead(SEQ, n - 1).over(order).isNull()})
-        head = F.lit(False) if span is None else F.col(earlier[-1]).isNull()
-        done = marked.filter(F.col("_open") & ~head)
-        solved.append(done.select(*[_mean(c, earlier, n, on_null).alias(c) if c in columns else F.col(c)
-                                    for c in out]))
-        rows = marked.filter(head | F.col("_tail")).select(*out, "_now", (F.col("_open") & head).alias("_open"))
-    return reduce(DataFrame.unionByName, solved)
+    halo = _halo_rows(df.select(*dict.fromkeys([*keys, SEQ, *columns])), keys, columns, n, chunk, fan)
+    none = [F.col(f.name) if f.name in halo.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in df.schema.fields]
+    rows = df.select("*", own, F.lit(True).alias("_own")).unionByName(
+        halo.select(*none, CHUNK_ID, F.lit(False).alias("_own")))
+    order = Window.partitionBy(*keys, CHUNK_ID).orderBy(SEQ)
+    # All signals travel in one struct: one lag per earlier row, however many signals.
+    earlier = [f"_lag{k}" for k in range(1, n)]
+    marked = rows.withColumn("_now", F.struct(*columns)).withColumns(
+        {lag: F.lag("_now", k).over(order) for k, lag in enumerate(earlier, start=1)})
+    return marked.filter("_own").select(
+        *[_mean(c, earlier, n, on_null).alias(c) if c in columns else F.col(c) for c in out],
+        *([CHUNK_ID] if keep_chunk else []))
+
+
+def _halo_rows(df: DataFrame, keys: list[str], columns: list[str], n: int, chunk: int, fan: int) -> DataFrame:
+    """Stored: the last n - 1 rows before each chunk of each scope, with the chunk's number."""
+    edges = materialize(_edges(df, keys, n - 1, chunk), "edges").withColumns({
+        CHUNK_ID: F.floor(F.col(SEQ) / F.lit(chunk)), "_wide": F.floor(F.col(SEQ) / F.lit(chunk * fan))})
+    edges = _last_of(edges, [*keys, CHUNK_ID], n - 1)
+    before_wide = _before(_last_of(edges, [*keys, "_wide"], n - 1).withColumn("_own", F.lit(True)), keys, "_wide",
+                          df.columns, n)
+    before_wide = before_wide.select(*df.columns, F.floor(F.col(SEQ) / F.lit(chunk)).alias(CHUNK_ID), "_wide",
+                                     F.lit(False).alias("_own"))
+    both = edges.withColumn("_own", F.lit(True)).unionByName(before_wide)
+    return materialize(_before(both, [*keys, "_wide"], CHUNK_ID, df.columns, n), "halo")
+
+
+def _edges(df: DataFrame, keys: list[str], keep: int, chunk: int) -> DataFrame:
+    """Each task's last `keep` rows of every chunk and scope; a task holds no more than these and a batch."""
+    def last(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seq = batch.column(SEQ).to_numpy()
+        parts = pd.DataFrame({"chunk": seq // chunk, **{k: batch.column(k).to_pandas() for k in keys}})
+        group = parts.groupby(list(parts.columns), dropna=False, sort=False).ngroup().to_numpy()
+        order = np.lexsort((seq, group))
+        ends = np.searchsorted(group[order], group[order], "right")
+        return batch.take(pa.array(np.sort(order[ends - np.arange(len(order)) <= keep])))
+
+    def run(batches):
+        held, size, kept = [], 0, 0
+        for batch in batches:
+            held.append(last(batch))
+            size += held[-1].num_rows
+            if size > 2 * kept + 100_000:
+                held = [last(pa.Table.from_batches(held).combine_chunks().to_batches()[0])]
+                size = kept = held[0].num_rows
+        if held and size:
+            yield last(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _last_of(rows: DataFrame, part: list[str], keep: int) -> DataFrame:
+    latest = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(SEQ)))
+    return rows.withColumn("_latest", latest).filter(F.col("_latest") <= keep).drop("_latest")
+
+
+def _before(rows: DataFrame, part: list[str], group: str, out: list[str], n: int) -> DataFrame:
+    """The n - 1 rows before each `group` inside `part`, with the group they come before."""
+    order = Window.partitionBy(*part).orderBy(SEQ)
+    whole = rows.withColumn("_row", F.struct(*out))
+    earlier = F.array_compact(F.array(*[F.lag("_row", k).over(order) for k in range(1, n)]))
+    marked = whole.select(group, "_own", F.lag(group).over(order).alias("_last"), earlier.alias("_rows"))
+    return marked.filter(F.col("_own") & (F.col("_last").isNull() | (F.col("_last") != F.col(group)))).select(
+        group, F.inline("_rows"))
 
 
 def _mean(column: str, earlier: list[str], n: int, on_null: str) -> Column:

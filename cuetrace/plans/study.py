@@ -27,7 +27,6 @@ class Study:
                  scope: str = "stream", strict: bool = True):
         self.rows, self.params, self.signals, self.scope, self.strict = rows, params, signals, scope, strict
         self._bad: DataFrame | None = None
-        self._max_seq: int | None = None
         self._means: dict[str, DataFrame] = {}
         self._permuted: dict[tuple, DataFrame] = {}
 
@@ -59,23 +58,17 @@ class Study:
 
     # signals
 
-    def max_seq(self) -> int:
-        """Number of stored rows, which bounds `seq`; known from the file footers."""
-        if self._max_seq is None:
-            self._max_seq = self.rows.count()
-        return self._max_seq
-
-    def smoothed(self, names: list[str], scope: str | None = None) -> DataFrame:
+    def smoothed(self, names: list[str], scope: str | None = None, *, keep_chunk: bool = False) -> DataFrame:
         """Clean rows with the signals in reported units, smoothed."""
         columns = [SIGNALS[n] for n in names]
         rows = self.clean().select(*TRIAL, "item", "cueFrame", PHASE, EXPERIMENT, SEQ, *columns)
         return smoothing.moving_average(
             baseline.rescale(rows, columns), columns, self.params.smooth_window, scope=scope or self.scope,
-            max_seq=self.max_seq())
+            keep_chunk=keep_chunk)
 
     def block_means(self, names: list[str], scope: str | None = None) -> DataFrame:
         columns = [SIGNALS[n] for n in names]
-        cells = averaging.trial_cells(self.smoothed(names, scope), columns, self.params)
+        cells = averaging.trial_cells(self.smoothed(names, scope, keep_chunk=True), columns, self.params)
         return averaging.block_means(cells, columns, self.params)
 
     def subject_means(self, names: list[str], scope: str | None = None) -> DataFrame:

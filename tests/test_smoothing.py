@@ -41,10 +41,40 @@ def test_chunks_equal_one_global_window(spark, chunk, fan):
     order = Window.orderBy("seq").rowsBetween(-3, 0)
     plain = df.select("seq", F.when(F.count("x").over(order) == 4, F.avg("x").over(order)).alias("x"))
     want = [r.x for r in plain.orderBy("seq").collect()]
-    for bound in (None, chunk * fan - 1 if chunk > 100 else None):
-        got = smoothed(df, chunk=chunk, fan=fan, max_seq=bound)
-        assert [g is None for g in got] == [w is None for w in want]
-        assert [g for g in got if g] == pytest.approx([w for w in want if w], abs=1e-12)
+    got = smoothed(df, chunk=chunk, fan=fan)
+    assert [g is None for g in got] == [w is None for w in want]
+    assert [g for g in got if g] == pytest.approx([w for w in want if w], abs=1e-12)
+
+
+@pytest.mark.parametrize("chunk, fan", [(1, 1), (2, 2), (5, 3)])
+@pytest.mark.parametrize("scope, keys", [("trial", ["trial"]), ("experiment", ["ExpNr"])])
+def test_halo_rows_of_tiny_chunks_with_gaps(spark, scope, keys, chunk, fan):
+    draw = random.Random(5)
+    trials = [draw.choice([1, 1, 2, None]) for _ in range(300)]
+    df = stream(spark, [draw.random() for _ in range(300)], gaps=True).drop("trial").join(
+        spark.createDataFrame(list(enumerate(trials, start=1)), "k long, trial int"),
+        F.expr("k = 1 + pmod(seq, 300)")).drop("k")
+    df = df.withColumn("ExpNr", F.when(F.col("seq") < 900, 1).otherwise(2)).repartition(5)
+    order = Window.partitionBy(*keys).orderBy("seq").rowsBetween(-3, 0)
+    want = df.select("seq", F.when(F.count("x").over(order) == 4, F.avg("x").over(order)).alias("x")).orderBy("seq").collect()
+    got = smoothed(df, scope=scope, chunk=chunk, fan=fan)
+    assert [g is None for g in got] == [w.x is None for w in want]
+    assert [g for g in got if g] == pytest.approx([w.x for w in want if w.x], abs=1e-12)
+
+
+def test_plans_have_one_sort_and_two_shuffles_of_the_rows(spark):
+    def executed(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.split("== Initial Plan ==")[0]
+
+    df = stream(spark, [float(i % 7) for i in range(500)]).withColumns({
+        "item": F.lit("item L"), "phase": F.lit("same"), "cueFrame": F.col("seq") % 7 - 2}).withColumn("cueFrame", F.expr("int(cueFrame)"))
+    plan = executed(smoothing.moving_average(df, ["x", "y"], 4, chunk=50))
+    assert plan.count(" Exchange ") == 1 and plan.count(" Sort ") == 1 and plan.count(" Window ") == 1
+    kept = smoothing.moving_average(df, ["x", "y"], 4, chunk=50, keep_chunk=True)
+    plan = executed(averaging.block_means(averaging.trial_cells(kept, ["x", "y"], P), ["x", "y"], P))
+    assert plan.count(" Exchange ") == 2 and plan.count(" Window ") == 2
 
 
 def test_interior_null(spark):
