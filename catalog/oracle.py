@@ -171,7 +171,8 @@ def perm_ctes(name: str) -> list[str]:
     return [
         *test_ctes(name),
         f"""flips AS MATERIALIZED (SELECT SubNr, perm,
-  CASE WHEN perm = 0 OR substr(md5(concat_ws('|', '{P.seed}', '{name}', perm, SubNr)), 1, 1) < '8'
+  CASE WHEN perm = 0 OR (instr('0123456789abcdef', substr(md5(concat_ws('|', '{P.seed}', '{name}', perm // 128, SubNr)),
+                                                          1 + perm % 128 // 4, 1)) - 1) >> (3 - perm % 4) & 1 = 0
        THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS flip
 FROM (SELECT DISTINCT SubNr FROM d), (SELECT range::INT AS perm FROM range({P.permutations})))""",
         """permf AS MATERIALIZED (SELECT perm, cueFrame, n * (s / n) * (s / n) / nullif((q - n * (s / n) * (s / n)) / nullif(n - 1, 0), 0) AS f

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
+SIGNS = 128  # bits of a digest
+
 
 def _digest(*key: Column) -> Column:
     return F.md5(F.concat_ws("|", *[k.cast("string") for k in key]))
@@ -28,8 +31,16 @@ def sign(*key: Column) -> Column:
     return F.when(F.substring(_digest(*key), 1, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def signs(seed: int, signal: str, permutations: int, subject: int) -> list[float]:
-    """`sign(seed, signal, perm, subject)` of perm 0, 1, ... inside a task."""
-    heads = (hashlib.md5(f"{seed}|{signal}|{perm}|{subject}".encode(), usedforsecurity=False).digest()[0]
-             for perm in range(permutations))
-    return [1.0 if head < 128 else -1.0 for head in heads]
+def permutation_sign(seed: Column, signal: Column, perm: Column, subject: Column) -> Column:
+    """+1 or -1 with equal chance: a bit of the MD5 of (seed, signal, block of `SIGNS` permutations, subject)."""
+    digest = _digest(seed, signal, F.floor(perm / SIGNS), subject)
+    digit = F.conv(F.substring(digest, F.floor(perm % SIGNS / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    bit = F.floor(digit / F.pow(F.lit(2), 3 - perm % 4)) % 2
+    return F.when(bit == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def signs(seed: int, signal: str, permutations: int, subject: int) -> np.ndarray:
+    """`permutation_sign(seed, signal, perm, subject)` of perm 0, 1, ... inside a task, with a digest for `SIGNS` of them."""
+    digests = b"".join(hashlib.md5(f"{seed}|{signal}|{block}|{subject}".encode(), usedforsecurity=False).digest()
+                       for block in range(-(-permutations // SIGNS)))
+    return 1.0 - 2.0 * np.unpackbits(np.frombuffer(digests, np.uint8))[:permutations]

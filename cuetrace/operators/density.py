@@ -1,9 +1,9 @@
 """Gaussian kernel densities on fixed grids: exact kernel sums, in parallel over the points.
 
 A point adds to every cell of its grid, which no join should write out. Kernel sums add up, so
-points are not moved: each task of the scan counts the equal points of a batch, adds up the kernels in
-numpy (for the 2-D grid one matrix product per block) and returns its partial grid; only the partial
-grids are shuffled, to be added by a grouped sum.
+points are not moved: each task of the scan counts its equal points in a table of bounded size, adds up the kernels in
+numpy (for the 2-D grid one matrix product per block) and returns its partial grid as binary rows; only these
+are shuffled, and merged in rounds.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cuetrace.operators.partials import few_tasks, pieces, spread, tree_sum
 from cuetrace.operators.quantiles import collect_groups, group_quantiles
 from cuetrace.params import Params
 from cuetrace.schema import ITEM_LEFT, ITEM_RIGHT
 from cuetrace.workspace import materialize
 
+COUNTED = 100_000       # different points in a task's table
 POINTS_PER_BLOCK = 512  # a kernel matrix of grid x block stays in a core's cache
 
 
@@ -40,16 +42,45 @@ def _kernel(grid: np.ndarray, at: np.ndarray, sd: float) -> np.ndarray:
     return z
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
-    """The different points of a batch with their counts `w`, one item at a time, in blocks that
-    bound the kernel matrix."""
-    for batch in batches:
+class _Counts:
+    """The different points of a task with their counts: at most `COUNTED` of them, and what has come since they were
+    last put together. When there are more, all are handed on to be added up."""
+
+    def __init__(self):
+        self.kept, self.new, self.rows = None, [], 0
+
+    def add(self, batch: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
         if batch.isnull().values.any():
             raise ValueError("density: missing value in a point")
         counted = batch.groupby(list(batch.columns), sort=False).size().reset_index(name="w")
-        for item, points in counted.groupby("item"):
-            for at in range(0, len(points), POINTS_PER_BLOCK):
-                yield item, points.iloc[at:at + POINTS_PER_BLOCK]
+        self.new.append(counted)
+        self.rows += len(counted)
+        if self.rows >= COUNTED:
+            self._put_together()
+            if len(self.kept) > COUNTED:
+                yield from self.rest()
+
+    def _put_together(self) -> None:
+        found = pd.concat([*([] if self.kept is None else [self.kept]), *self.new])
+        self.kept = found.groupby(list(found.columns[:-1]), sort=False)["w"].sum().reset_index()
+        self.new, self.rows = [], 0
+
+    def rest(self) -> Iterator[tuple[str, pd.DataFrame]]:
+        """One item at a time, in blocks that bound the kernel matrix."""
+        if self.new:
+            self._put_together()
+        if self.kept is not None:
+            for item, points in self.kept.groupby("item"):
+                for at in range(0, len(points), POINTS_PER_BLOCK):
+                    yield item, points.iloc[at:at + POINTS_PER_BLOCK]
+        self.kept = None
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
+    counts = _Counts()
+    for batch in batches:
+        yield from counts.add(batch)
+    yield from counts.rest()
 
 
 def density_2d(points: DataFrame, p: Params) -> DataFrame:
@@ -64,13 +95,14 @@ def density_2d(points: DataFrame, p: Params) -> DataFrame:
             sums[item] += _kernel(grid, block.x.to_numpy(), sd) @ (_kernel(grid, block.y.to_numpy(), sd) * w).T
             counts[item] += int(w.sum())
         for item, total in sums.items():
-            ix, iy = np.indices(total.shape) + 1
-            yield pd.DataFrame({"item": item, "ix": ix.ravel(), "iy": iy.ravel(),
-                                "part": total.ravel(), "n": counts[item]})
+            for at, part, numbers in pieces(total):
+                yield pd.DataFrame({"item": [item], "at": [at], "part": [part], "total": [numbers], "n": [counts[item]]})
 
-    parts = points.select("item", "x", "y").mapInPandas(
-        partial, "item string, ix int, iy int, part double, n long")
-    return parts.groupBy("item", "ix", "iy").agg((F.sum("part") / F.sum("n")).alias("density"))
+    few, tasks = few_tasks(points.select("item", "x", "y"))
+    parts = few.mapInPandas(partial, "item string, at int, part int, total binary, n long")
+    rows = spread(tree_sum(parts, ["item"], tasks), ["item"], (size, size), ["ix", "iy"], "total")
+    return rows.select("item", (F.col("ix") + 1).alias("ix"), (F.col("iy") + 1).alias("iy"),
+                       (F.col("total") / F.col("n")).alias("density"))
 
 
 def grid_cm(index: str, p: Params):
@@ -125,15 +157,17 @@ def density_1d(points: DataFrame, p: Params) -> DataFrame:
             sums[item] += _kernel(grid, block.x.to_numpy(), bw[item]) @ w
             counts[item] += int(w.sum())
         for item, total in sums.items():
-            yield pd.DataFrame({"item": item, "i": np.arange(1, len(grid) + 1), "x": grid,
-                                "bw": bw[item], "part": total, "n": counts[item]})
+            for at, part, numbers in pieces(total):
+                yield pd.DataFrame({"item": [item], "bw": [bw[item]], "at": [at], "part": [part], "total": [numbers],
+                                    "n": [counts[item]]})
 
     # Read once per narrowing round of the quartiles and once for the sums: two narrow columns, stored.
     points = materialize(points.select("item", "x"), "density-x")
-    with_bw = points.join(F.broadcast(bandwidths(points).drop("n")), "item")
-    parts = with_bw.mapInPandas(
-        partial, "item string, i int, x double, bw double, part double, n long")
-    return parts.groupBy("item", "i", "x", "bw").agg((F.sum("part") / F.sum("n")).alias("density"))
+    with_bw, tasks = few_tasks(points.join(F.broadcast(bandwidths(points).drop("n")), "item"))
+    parts = with_bw.mapInPandas(partial, "item string, bw double, at int, part int, total binary, n long")
+    rows = spread(tree_sum(parts, ["item", "bw"], tasks), ["item", "bw"], (len(grid),), ["i"], "total")
+    x = F.lit(-p.grid_limit) + F.col("i") * F.lit(2 * p.grid_limit / (p.line_points - 1))
+    return rows.select("item", (F.col("i") + 1).alias("i"), x.alias("x"), "bw", (F.col("total") / F.col("n")).alias("density"))
 
 
 def density_1d_difference(by_item: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cuetrace.functions.draws import signs
 from cuetrace.functions.means import ratio
+from cuetrace.operators.partials import few_tasks, pieces, spread, tree_sum
 from cuetrace.params import Params
 
 SUBJECTS_PER_BLOCK = 256       # bounds the matrix of signs
-PERMUTATIONS_PER_BATCH = 500   # bounds a batch of sums
 
 
 def frame_f(d: DataFrame) -> DataFrame:
@@ -30,14 +30,14 @@ def permutation_f(d: DataFrame, permutations: int, p: Params) -> DataFrame:
     """F per (signal, perm, frame) under random signs per (perm, subject); perm 0 is the data.
 
     Subjects are spread over tasks, one row of frames each. A task draws the signs of each subject
-    and adds the signed rows up in numpy, one matrix product per block of subjects; only its sums, one per
-    perm and frame, are shuffled. Sums of squares do not depend on the signs and are taken once.
+    and adds the signed rows up in numpy, one matrix product per block of subjects; its sums travel as binary
+    rows and are merged in rounds. Sums of squares do not depend on the signs and are taken once.
     """
     first, size = p.first_frame, len(p.frames)
     inside = d.filter(F.col("d").isNotNull() & F.col("cueFrame").between(p.first_frame, p.last_frame))
     cells = F.collect_list(F.struct("cueFrame", "d"))  # at most one per frame
-    subjects = inside.groupBy("signal", "SubNr").agg(cells.alias("c")).select(
-        "signal", "SubNr", F.col("c.cueFrame").alias("at"), F.col("c.d").alias("d"))
+    subjects, tasks = few_tasks(inside.groupBy("signal", "SubNr").agg(cells.alias("c")).select(
+        "signal", "SubNr", F.col("c.cueFrame").alias("at"), F.col("c.d").alias("d")))
 
     def partial(batches):
         sums = {}
@@ -55,14 +55,12 @@ def permutation_f(d: DataFrame, permutations: int, p: Params) -> DataFrame:
                     flips[:, 0] = 1.0
                     total += flips.T @ values
         for signal, total in sums.items():
-            for start in range(0, permutations, PERMUTATIONS_PER_BATCH):
-                part = total[start:start + PERMUTATIONS_PER_BATCH]
-                perm, frame = np.indices(part.shape)
-                yield pd.DataFrame({"signal": signal, "perm": perm.ravel() + start,
-                                    "cueFrame": frame.ravel() + first, "s": part.ravel()})
-
-    rows = (subjects.mapInPandas(partial, "signal string, perm int, cueFrame int, s double")
-            .groupBy("signal", "perm", "cueFrame").agg(F.sum("s").alias("s")))
+            for at, part, block in pieces(total):
+                yield pd.DataFrame({"signal": [signal], "at": [at], "part": [part], "total": [block], "n": [0]})
+
+    parts = subjects.mapInPandas(partial, "signal string, at int, part int, total binary, n long")
+    rows = spread(tree_sum(parts, ["signal"], tasks), ["signal"], (permutations, size), ["perm", "frame"], "s").select(
+        "signal", "perm", (F.col("frame") + first).alias("cueFrame"), "s")
     # One row per signal and frame of the window, however many subjects there are.
     frames = d.groupBy("signal", "cueFrame").agg(
         F.count("d").cast("double").alias("n"), F.sum(F.col("d") * F.col("d")).alias("q"))

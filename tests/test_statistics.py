@@ -129,8 +129,8 @@ def brute_force_f(rows):
     import hashlib
     out = []
     for perm in range(SMALL.permutations):
-        flips = np.array([1.0 if perm == 0 or hashlib.md5(f"22|yaw|{perm}|{s}".encode()).hexdigest()[0] < "8"
-                          else -1.0 for s in subjects])
+        digests = [int(hashlib.md5(f"22|yaw|{perm // 128}|{s}".encode()).hexdigest(), 16) for s in subjects]
+        flips = np.array([1.0 if perm == 0 or not d >> (127 - perm % 128) & 1 else -1.0 for d in digests])
         x = d * flips[:, None]
         out.append(len(subjects) * x.mean(axis=0) ** 2 / x.var(axis=0, ddof=1))
     return np.array(out)
@@ -249,5 +249,53 @@ def test_family_wise_error_and_power(spark):
 
 
 def test_signs_in_a_task_are_those_of_the_column(spark):
-    drawn = spark.range(200).select(draws.sign(F.lit(22), F.lit("gaze"), F.col("id").cast("int"), F.lit(7)))
-    assert [r[0] for r in drawn.collect()] == draws.signs(22, "gaze", 200, 7)
+    drawn = spark.range(200).select(draws.permutation_sign(F.lit(22), F.lit("gaze"), F.col("id").cast("int"), F.lit(7)))
+    assert [r[0] for r in drawn.collect()] == draws.signs(22, "gaze", 200, 7).tolist()
+    ones = np.array([draws.signs(22, "gaze", 5000, s) for s in range(40)])
+    assert abs(ones.mean()) < 0.01 and abs((ones[:, 1:] * ones[:, :-1]).mean()) < 0.01 and set(ones.ravel()) == {1.0, -1.0}
+
+
+def shuffled_rows(df):
+    """Rows written to shuffles that follow a Python stage."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if name == "Exchange" and "MapIn" in node.toString():
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += children
+    return found
+
+
+def test_partial_sums_do_not_follow_the_number_of_tasks(spark):
+    from cuetrace.operators import density, partials
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 'item L', 'item R') AS item", "id % 37 AS x", "id % 41 AS y").selectExpr(
+        "item", "double(x) AS x", "double(y) AS y")
+    most = 2 * partials.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    results = []
+    for parts in (4, 400):
+        found = density.density_2d(rows.repartition(parts), P)
+        results.append({(r.item, r.ix, r.iy): r.density for r in found.collect()})
+        blocks = -(-P.grid_size ** 2 // partials.BLOCK)
+        assert 0 < max(shuffled_rows(found)) <= most * blocks
+    assert results[0] == pytest.approx(results[1], rel=1e-9)
+
+
+def test_rounds_of_the_tree_sum(spark):
+    from cuetrace.operators import partials
+    array = np.arange(5.0)
+    parts = spark.createDataFrame([("a" if k % 3 else "b", 0, k, (array * k).tobytes(), k) for k in range(100)],
+                                  "g string, at int, part int, total binary, n long").repartition(7)
+    for fan_in in (2, 7, 64):
+        got = {r.g: (np.frombuffer(bytes(r.total)), r.n) for r in partials.tree_sum(parts, ["g"], 100, fan_in).collect()}
+        for g in "ab":
+            n = sum(k for k in range(100) if ("a" if k % 3 else "b") == g)
+            assert got[g][1] == n and got[g][0].tolist() == (array * n).tolist()
