@@ -1,7 +1,7 @@
 """Student t and F distribution functions for small result tables.
 
 Every call works on the rows of an already aggregated table (one per frame, measure or
-signal), in Arrow batches inside the tasks.
+signal): t quantiles as built-in expressions, tails of F in Arrow batches inside the tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -58,14 +58,50 @@ def f_upper(f: float, df1: float, df2: float) -> float:
     return beta_cdf(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
 
 
-def t_quantile(confidence: float):
-    """Column function: two-sided t quantile for a column of degrees of freedom; NULL below 1."""
-    p = (1 + confidence) / 2
+NEWTON_STEPS = 40
+
 
-    @F.pandas_udf(T.DoubleType())
-    def quantile(df: pd.Series) -> pd.Series:
-        known = {v: t_ppf(p, v) for v in df.dropna().unique() if v >= 1}
-        return df.map(known).astype("float64")
+def t_quantile(confidence: float):
+    """Column function: two-sided t quantile for a column of whole degrees of freedom; NULL below 1.
+
+    A built-in expression, so that results need no Python. With theta = atan(t / sqrt(df)), P(|T| < t) is a finite sum of
+    powers of cos(theta) (Abramowitz & Stegun 26.7.3-4) and its derivative is c cos(theta)^(df - 1). The sum grows ever
+    more slowly with theta, so Newton steps from 0 never pass the quantile.
+    """
+    def inside(theta: Column, odd: Column, terms: Column) -> Column:
+        """P(|T| < t): the next term is the last one times cos^2 times (2k - 1) / 2k, or 2k / (2k + 1) if odd."""
+        def add(state: Column, k: Column) -> Column:
+            ratio = F.when(odd, 2.0 * k / (2.0 * k + 1.0)).otherwise((2.0 * k - 1.0) / (2.0 * k))
+            term = state["term"] * ratio * F.cos(theta) * F.cos(theta)
+            return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+        first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+        more = F.when(terms > 1, F.sequence(F.lit(1.0).cast("int"), terms - 1)).otherwise(F.array().cast("array<int>"))
+        whole = F.aggregate(more, F.struct(first.alias("term"), first.alias("sum")), add, lambda s: s["sum"])
+        some = F.when(terms > 0, whole).otherwise(F.lit(0.0))
+        return F.when(odd, (theta + F.sin(theta) * some) * (2.0 / math.pi)).otherwise(F.sin(theta) * some)
+
+    def solved(df: Column) -> Column:
+        odd, terms = df % 2 == 1, F.floor(df / 2).cast("int")
+        # c of 1 is 2 / pi, of 2 it is 1, and of df + 2 that of df times (df + 1) / df.
+        smaller = F.when(df > 2, F.sequence(F.when(odd, 1).otherwise(2), df - 2, F.lit(2))).otherwise(
+            F.array().cast("array<int>"))
+        scale = F.aggregate(smaller, F.when(odd, F.lit(2.0 / math.pi)).otherwise(F.lit(1.0)),
+                            lambda c, k: c * (k + 1.0) / k)
+
+        def step(constants: Column) -> Column:
+            def newton(theta: Column, _) -> Column:
+                slope = constants["scale"] * F.pow(F.cos(theta), constants["df"] - 1.0)
+                return theta + (F.lit(confidence) - inside(theta, constants["odd"], constants["terms"])) / slope
+
+            theta = F.aggregate(F.array_repeat(F.lit(0), NEWTON_STEPS), F.lit(0.0), newton)
+            return F.tan(theta) * F.sqrt(constants["df"])
+
+        constants = F.struct(df.cast("double").alias("df"), odd.alias("odd"), terms.alias("terms"), scale.alias("scale"))
+        return F.get(F.transform(F.array(constants), step), F.lit(0))
+
+    def quantile(df: Column) -> Column:
+        return F.when(df >= 1, F.get(F.transform(F.array(df.cast("int")), solved), F.lit(0)))
 
     return quantile
 

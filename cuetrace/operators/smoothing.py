@@ -5,8 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuetrace.schema import EXPERIMENT, SEQ, TRIAL
@@ -60,7 +60,7 @@ def _halo_rows(df: DataFrame, keys: list[str], columns: list[str], n: int, chunk
     """Stored: the last n - 1 rows before each chunk of each scope, with the chunk's number."""
     edges = materialize(_edges(df, keys, n - 1, chunk), "edges").withColumns({
         CHUNK_ID: F.floor(F.col(SEQ) / F.lit(chunk)), "_wide": F.floor(F.col(SEQ) / F.lit(chunk * fan))})
-    edges = _last_of(edges, [*keys, CHUNK_ID], n - 1)
+    # A chunk that lies in several tasks has more edge rows than it needs; that changes nothing below.
     before_wide = _before(_last_of(edges, [*keys, "_wide"], n - 1).withColumn("_own", F.lit(True)), keys, "_wide",
                           df.columns, n)
     before_wide = before_wide.select(*df.columns, F.floor(F.col(SEQ) / F.lit(chunk)).alias(CHUNK_ID), "_wide",
@@ -73,11 +73,17 @@ def _edges(df: DataFrame, keys: list[str], keep: int, chunk: int) -> DataFrame:
     """Each task's last `keep` rows of every chunk and scope; a task holds no more than these and a batch."""
     def last(batch: pa.RecordBatch) -> pa.RecordBatch:
         seq = batch.column(SEQ).to_numpy()
-        parts = pd.DataFrame({"chunk": seq // chunk, **{k: batch.column(k).to_pandas() for k in keys}})
-        group = parts.groupby(list(parts.columns), dropna=False, sort=False).ngroup().to_numpy()
-        order = np.lexsort((seq, group))
-        ends = np.searchsorted(group[order], group[order], "right")
-        return batch.take(pa.array(np.sort(order[ends - np.arange(len(order)) <= keep])))
+        parts = [seq // chunk]
+        for key in keys:
+            codes = pc.dictionary_encode(batch.column(key), null_encoding="encode").indices
+            parts.append(codes.to_numpy(zero_copy_only=False))
+        order = np.lexsort((seq, *parts))
+        new = np.zeros(len(seq), np.int64)
+        for part in parts:
+            new[1:] |= np.diff(part[order]) != 0
+        group = np.cumsum(new)
+        place = np.searchsorted(group, group, "right") - np.arange(len(seq))  # 1 for a group's last row
+        return batch.take(pa.array(np.sort(order[place <= keep])))
 
     def run(batches):
         held, size, kept = [], 0, 0

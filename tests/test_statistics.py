@@ -22,6 +22,24 @@ def test_known_quantiles_and_tails():
     assert student.f_upper(0, 1, 5) == 1
 
 
+def test_t_quantile_as_an_expression(spark):
+    ns = [*range(1, 41), 71, 100, 101, 499, 1000, 4999, 10_000]
+    rows = spark.createDataFrame([(float(n),) for n in [*ns, 0.0, -1.0]] + [(None,)], "df double")
+    for confidence in (0.95, 0.5, 0.999):
+        found = rows.select("df", student.t_quantile(confidence)(F.col("df")).alias("t"))
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r.df: r.t for r in found.collect()}
+        assert got[0.0] is None and got[-1.0] is None and got[None] is None
+        for n in ns:
+            assert got[n] == pytest.approx(student.t_ppf((1 + confidence) / 2, n), rel=1e-9), (n, confidence)
+
+
+def test_summaries_need_no_python(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (1, "b", 3.0), (2, "b", 5.0)], "SubNr int, item string, v double")
+    for found in (summary.summary_se(rows, "v", ["item"], P), summary.summary_within(rows, "v", "item", [], P)):
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 2
+
+
 def test_strict_mean(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 1.0), ("b", 3.0)], "g string, x double")
     got = {r.g: (r.strict, r.loose) for r in df.groupBy("g").agg(
