@@ -30,6 +30,8 @@ LEAF = 64
 K = 5
 SLACK = 1e-7  # distances of unit vectors are off by less; near zero they are by about 1.5e-8
 BATCH = 1024
+PART = 16  # queries whose ties are held together
+PAIR_NUMBERS = 1 << 20  # vector components that are compared at a time
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -146,9 +148,18 @@ class _Shard:
     def search(self, names: np.ndarray, vectors: np.ndarray, factor: float) -> dict:
         unit = vectors / np.sqrt((vectors ** 2).sum(axis=1))[:, None]
         _, best = self.tree.search(unit, self.n_points, factor)
-        at, found = self.tree.within(unit, best[:, -1], factor)
+        # Any number of points may tie, so few queries' pairs are held at a time, and of these the best are kept.
+        parts = [self._ranked(names[i:i + PART], vectors[i:i + PART], unit[i:i + PART], best[i:i + PART, -1], factor)
+                 for i in range(0, len(names), PART)]
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+    def _ranked(self, names, vectors, unit, reach, factor) -> dict:
+        at, found = self.tree.within(unit, reach, factor)
         sizes = np.array([len(self.members[p]) for p in found], np.int64)
-        score = cosine(vectors[at], self.vectors[found])
+        score = np.zeros(len(at))
+        step = max(1, PAIR_NUMBERS // vectors.shape[1])
+        for i in range(0, len(at), step):
+            score[i:i + step] = cosine(vectors[at[i:i + step]], self.vectors[found[i:i + step]])
         at, score = np.repeat(at, sizes), np.repeat(score, sizes)
         ids = np.concatenate([self.members[p] for p in found]) if len(found) else np.zeros(0, np.int64)
         other = ids != names[at]
@@ -187,7 +198,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, factor: float =
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "vec_id",
         "embedding")
     dealt = points.unionByName(asking).withColumn("dim", F.size("embedding"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
+    # A task a shard: a hash of the shards' numbers would put several into one.
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
 
     def run(batches):
         key, held, shard = None, [], None
