@@ -30,6 +30,7 @@ from cuetrace.llm.tokens import encoded
 WINDOW = 1024
 END_ID = 0
 SWEEPS = 8
+SLICE = 512  # pieces that are placed at a time
 RANKS = 42  # bits for a rank in a placement's key
 
 PIECES = ("part int, doc_id long, start long, length int, ids binary, doc_tokens long, local_rank long")
@@ -196,28 +197,29 @@ def pack(documents: DataFrame, tokenizer: str, *, window: int = WINDOW) -> DataF
     histogram = np.zeros(window + 1, np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `window` rows
         histogram[row["length"]] = row["n"]
-    plan = make_plan(histogram, window)
+    # Its size follows the number of lengths and of their combinations, not that of pieces.
+    plan = documents.sparkSession.sparkContext.broadcast(make_plan(histogram, window))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
     ranked = pieces.join(per_task.select("part", "length", before.alias("before")), ["part", "length"])
     ranked = ranked.select("doc_id", "start", "length", "ids", "doc_tokens",
                            (F.col("before") + F.col("local_rank")).alias("rank"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             length, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "rank"))
             at, begin = np.arange(len(length)), np.zeros(len(length), np.int64)
             while len(at):
-                which = np.searchsorted(plan.keys, plan.key(length[at], begin, rank[at]), "right") - 1
-                size, rows = plan.sizes[which], pa.array(at)
+                which = np.searchsorted(plan.value.keys, plan.value.key(length[at], begin, rank[at]), "right") - 1
+                size, rows = plan.value.sizes[which], pa.array(at)
                 ids = batch.column("ids").take(rows)
                 if (size < length[at]).any():
-                    ids = pa.array([x[4 * b:4 * (b + s)] for x, b, s in
-                                    zip(ids.to_pylist(), begin.tolist(), size.tolist())], pa.binary())
+                    ids = pa.array([x.as_buffer().slice(4 * b, 4 * s).to_pybytes() for x, b, s in
+                                    zip(ids, begin.tolist(), size.tolist())], pa.binary())
                 yield {"doc_id": batch.column("doc_id").take(rows),
                        "start": batch.column("start").to_numpy()[at] + begin, "length": size, "ids": ids,
                        "doc_tokens": batch.column("doc_tokens").take(rows),
-                       "sequence_id": plan.sequences[which] + rank[at] - plan.first_ranks[which],
-                       "offset": plan.offsets[which]}
+                       "sequence_id": plan.value.sequences[which] + rank[at] - plan.value.first_ranks[which],
+                       "offset": plan.value.offsets[which]}
                 more = begin + size < length[at]
                 at, begin = at[more], (begin + size)[more]
 

@@ -2,7 +2,10 @@
 
 Such a tokenizer never merges across the start of a run of white space that follows other text.
 Texts are cut before these runs; a chunk is looked up by its 64-bit hash, and encoded where it is
-new to the Python worker. Memory is bounded by the sizes of the two caches.
+new to the Python worker. Memory is bounded by the size of a part and by the bytes of the two caches.
+
+As in the library, the string of a special token in a text gives that token's id. With `special_as_text` such
+strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from cuetrace.llm.words import chunks, words_of
@@ -23,8 +27,9 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 # White space beyond ASCII joins runs across the cuts; texts with it are encoded in one piece.
 SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER_SPACE = regex.compile("[" + "".join(map(chr, SPACES)) + "]")
-CACHED = 450_000
-CHUNK_BYTES = 1 << 22
+CACHE_BYTES = 80 << 20  # of each cache
+ENTRY_BYTES = 170  # of an entry beside its text and ids
+CHUNK_BYTES = 1 << 20
 
 
 def _letters() -> dict[int, str]:
@@ -34,21 +39,34 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Cache(dict):
+    """Takes short entries until it is full."""
+
+    left = CACHE_BYTES
+
+    def keep(self, key, size: int, ids: bytes) -> None:
+        cost = ENTRY_BYTES + size + len(ids)
+        if size <= 64 and cost <= self.left:
+            self.left -= cost
+            self[key] = ids
+
+
 class Encoder:
-    """Little-endian unsigned 32-bit ids; strings of special tokens are ordinary text."""
+    """Little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         setup = json.loads(self.tokenizer.to_str())
         before = setup["pre_tokenizer"] or {}
         # Words may be given to the model directly only if nothing else is set up.
         self.direct = (setup["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex")
                        and not before.get("add_prefix_space"))
+        # The library looks for these in the whole text before it cuts it.
+        self.added = [t["content"] for t in setup["added_tokens"] if not (special_as_text and t["special"])]
         self.letters = _letters()
-        self.chunks: dict[int, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = _Cache(), _Cache()
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,8 +76,7 @@ class Encoder:
         if ids is None:
             written = piece.encode().decode("latin1").translate(self.letters)
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
-            if len(self.pieces) < CACHED and len(piece) <= 64:
-                self.pieces[piece] = ids
+            self.pieces.keep(piece, len(piece), ids)
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
@@ -89,8 +106,7 @@ class Encoder:
         for i in [i for i, ids in enumerate(found) if ids is None]:
             begin, end = int(starts[first[i]]), int(ends[first[i]])
             found[i] = self._chunk(raw[begin:end].decode())
-            if len(self.chunks) < CACHED and end - begin <= 64:
-                self.chunks[keys[i]] = found[i]
+            self.chunks.keep(keys[i], end - begin, found[i])
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         begins = np.cumsum(counts) - counts
@@ -98,7 +114,10 @@ class Encoder:
         ids = flat[np.repeat(begins[which] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())]
         per_doc = np.bincount(doc, weights=taken, minlength=len(sizes)).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(per_doc)])
-        odd = [i for i in _with_wide_letters(w.data, w.offsets) if OTHER_SPACE.search(column[i].as_py())]
+        odd = {i for i in _with_wide_letters(w.data, w.offsets) if OTHER_SPACE.search(column[i].as_py())}
+        for content in self.added:
+            holds = pc.fill_null(pc.match_substring(column, content), False)
+            odd.update(np.flatnonzero(holds.to_numpy(zero_copy_only=False)).tolist())
         if odd:
             parts = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
             for i in odd:
@@ -115,13 +134,13 @@ def _with_wide_letters(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return np.unique(np.searchsorted(offsets, np.flatnonzero(rare), "right") - 1).tolist()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder a Python worker, as tasks share its caches."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
-def encoded(batch: pa.RecordBatch, text: str, path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, text: str, path: str, special_as_text: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with their ids and where each document's ids begin."""
     for part in chunks(batch, text, CHUNK_BYTES):
-        yield (part, *encoder(path).encode_column(part.column(text)))
+        yield (part, *encoder(path, special_as_text).encode_column(part.column(text)))

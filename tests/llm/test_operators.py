@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from cuetrace.llm import chat, decontaminate, jaccard, lines, oracle, packing, p
 from cuetrace.llm import queries, secret_scan, templates, vptree, wavelet  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 DOCS = "doc_id long, text string, h int, text_hash string, n_lines int, rank int"
 
 
@@ -34,7 +36,7 @@ def documents(spark, words):
     texts = [(0, " ".join(base)), (1, " ".join(base)), (2, " ".join(near)), (3, None), (4, ""), (5, " \n\t "),
              (6, "one two"), (7, "One  TWO"), (8, " ".join(long)), (9, " ".join(words(30) + passage + words(30))),
              (10, " ".join(words(9) + passage + words(50))), (11, "é" * 3000), (12, " ".join(passage * 2)),
-             (13, " ".join(base)), (13, " ".join(base)), (None, " ".join(words(50))), (None, None)]
+             (13, " ".join(base)), (13, " ".join(base)), (14, "x <|endoftext|> y<|endoftext|>\u3000z"), (None, " ".join(words(50))), (None, None)]
     line = "A line that is surely longer than forty characters."
     texts += [(20 + i, f"{line}\nown {i}\n  {line.upper()}\t") for i in range(6)]
     return spark.createDataFrame([(d, t, 1, "x", 2, 3) for d, t in texts], DOCS).repartition(3)
@@ -109,6 +111,25 @@ def test_nearest_with_many_vectors_of_one_id(spark):
     assert sorted(map(tuple, vptree.nearest(table, F.col("vec_id") == 0).collect())) == expected
 
 
+def test_ties_of_many_queries_take_little_memory():
+    """In a process of its own: 1,024 queries, 4,000 scaled copies of one vector."""
+    import subprocess
+    import sys
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(ROOT)!r})
+import numpy as np
+from cuetrace.llm.vptree import _Shard
+v = np.random.default_rng(1).normal(size=32)
+shard = _Shard(np.arange(4000), v * (1 + np.arange(4000))[:, None], 5)
+found = shard.search(np.arange(1024), v * (1 + np.arange(1024))[:, None], 1.0)
+assert len(found["score"]) == 5 * 1024
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+    peak = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True).stdout
+    assert float(peak) < 500
+
+
 def test_template_language():
     render = templates.compile_template("{% for m in ms %}{% if loop.first and not m.x == 'b' %}A{% elif m.x %}"
                                         "{% generation %}{{ m.x | upper + '!' }}{% endgeneration %}{% else %}-"
@@ -138,7 +159,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
     global _tokenizer
     _tokenizer = globals().get("_tokenizer") or Tokenizer.from_file(queries.tokenizer_path())
-    _tokenizer.encode_special_tokens = True
     return np.array([*_tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -345,6 +365,47 @@ def test_overlaps(spark, words, nothing):
     assert decontaminate.overlaps(table, bench.limit(0)).count() == 0
 
 
+def test_short_items_cost_no_document(spark):
+    table = spark.createDataFrame([(i, f"Yes. This is clean text number {i}, yes it is.") for i in range(5)],
+                                  "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Yes."), (2, "it is"), (3, None), (4, " \n"), (5, "yes, it -- is"), (6, "this is clean text")],
+                                  "item_id long, text string")
+    assert decontaminate.clean(table, bench.filter("item_id < 6")).count() == 5
+    assert decontaminate.clean(table, bench).count() == 0
+    assert sorted(map(tuple, decontaminate.short_items(bench).collect())) == [(1, 1), (2, 2), (3, 0), (4, 0), (5, 3)]
+    assert decontaminate.clean(table, bench, least_words=5).count() == 5
+
+
+def test_special_strings_as_the_library_takes_them():
+    import pyarrow as pa
+    from cuetrace.llm.tokens import Encoder
+    text = "x <|endoftext|> y"
+    for as_text, expected in ((False, 50256), (True, None)):
+        ids, _ = Encoder(queries.tokenizer_path(), as_text).encode_column(pa.array([text, "x", None]))
+        assert (expected in ids.tolist()) is (expected is not None)
+
+
+def test_encoding_keeps_little_memory():
+    """In a process of its own: what encoding 24 MB of text adds to the peak with the tokenizer loaded."""
+    import subprocess
+    import sys
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(ROOT)!r})
+import pyarrow.parquet as pq
+from cuetrace.llm import queries, tokens
+tokens.encoder(queries.tokenizer_path())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+file = pq.ParquetFile("/root/testdata/sf0.1/documents.parquet")
+for batch in file.iter_batches(1000, columns=["text"]):
+    for _ in tokens.encoded(batch, "text", queries.tokenizer_path()):
+        pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True).stdout
+    assert float(grown) < 300
+
+
 def test_masks_leave_no_choice_of_substitutions():
     from itertools import combinations
     masks = decontaminate.choose_masks(13, 2)
