@@ -305,6 +305,22 @@ LINE = [TRACE, POINTS, BANDWIDTH,
 FROM (SELECT item, x, count(*) AS w FROM points GROUP BY item, x) p JOIN bw ON p.item = bw.item, {axis(P.line_points)} a
 GROUP BY p.item, a.i, a.g)"""]
 
+# Linear binning, then a plain sum over the bins in place of Fourier transforms, then interpolation.
+BINS = 512
+BINNED = [TRACE, POINTS, BANDWIDTH,
+          f"""place AS (SELECT p.item, bw, n, (x + {P.grid_limit} + 4 * bw) / ((2 * {P.grid_limit} + 8 * bw) / {BINS - 1}) AS pos
+FROM points p JOIN bw ON p.item = bw.item)""",
+          f"""share AS MATERIALIZED (SELECT item, bw, n, bin, sum(w) / any_value(n) AS w FROM (
+  SELECT item, bw, n, floor(pos) AS bin, 1 - (pos - floor(pos)) AS w FROM place
+  UNION ALL SELECT item, bw, n, floor(pos) + 1, pos - floor(pos) FROM place)
+WHERE bin BETWEEN 0 AND {BINS - 1} GROUP BY item, bw, n, bin)""",
+          f"""smoothed AS MATERIALIZED (SELECT item, bw, range AS place, (2 * {P.grid_limit} + 8 * bw) / {BINS - 1} AS step,
+  sum(w * {kernel("(range - bin) * (2 * " + str(P.grid_limit) + " + 8 * bw) / " + str(BINS - 1), "0", "bw")}) AS y
+FROM share, range({BINS}) GROUP BY item, bw, range)""",
+          f"""d1b AS (SELECT s.item, a.i, a.g AS x, s.bw, s.y + (t.y - s.y) * ((a.g + {P.grid_limit} + 4 * s.bw) / s.step - s.place) AS density
+FROM {axis(P.line_points)} a, smoothed s JOIN smoothed t ON s.item = t.item AND t.place = s.place + 1
+WHERE s.place = least({BINS - 2}, floor((a.g + {P.grid_limit} + 4 * s.bw) / s.step)))"""]
+
 # The kernel factorises: sum over y first, then over x. Equal points are counted once.
 GRID = [TRACE, POINTS,
         "wp AS MATERIALIZED (SELECT item, x, y, count(*) AS w FROM points GROUP BY item, x, y)",
@@ -384,6 +400,7 @@ def build() -> dict[str, str]:
         "density_rows": query([TRACE, POINTS], f"SELECT item, {rs(['x', 'y'])} FROM points"),
         "density_bandwidth": query([TRACE, POINTS, BANDWIDTH], f"SELECT item, n, {r('bw', 'bw')} FROM bw"),
         "density_1d": query(LINE, f"SELECT item, i::INT AS i, {rs(['x', 'bw', 'density'])} FROM d1"),
+        "density_1d_binned": query(BINNED, f"SELECT item, i::INT AS i, {rs(['x', 'bw', 'density'])} FROM d1b"),
         "density_1d_diff": query(LINE, f"""SELECT r.i::INT AS i, {r("r.x", "x")}, {r("r.density - l.density", "density")}
 FROM d1 r JOIN d1 l ON r.i = l.i WHERE r.item = 'item R' AND l.item = 'item L'"""),
         "kde2d": query(GRID, f"SELECT item, ix::INT AS ix, iy::INT AS iy, {r('density', 'density')} FROM d2"),

@@ -195,6 +195,8 @@ def build() -> dict[str, Query]:
         "density_bandwidth": _of_rows(lambda r: density.bandwidths(density.density_points(r, P))),
         "density_1d": _of_rows(
             lambda r: density.density_1d(density.density_points(r, P), P)),
+        "density_1d_binned": _of_rows(
+            lambda r: density.density_1d_binned(density.density_points(r, P), P)),
         "density_1d_diff": _of_rows(lambda r: density.density_1d_difference(
             density.density_1d(density.density_points(r, P), P))),
         "kde2d": _of_rows(

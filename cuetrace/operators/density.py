@@ -170,6 +170,40 @@ def density_1d(points: DataFrame, p: Params) -> DataFrame:
     return rows.select("item", (F.col("i") + 1).alias("i"), x.alias("x"), "bw", (F.col("total") / F.col("n")).alias("density"))
 
 
+def density_1d_binned(points: DataFrame, p: Params, bins: int = 512) -> DataFrame:
+    """Density of x per item as `density_1d`, by linear binning and FFT: item, i, x, bw, density.
+
+    Each point gives its two nearest of `bins` places, from 4 bandwidths before the grid to as far behind it, shares by
+    nearness; points farther out count in the total only. The shares are added up on Spark, at most `bins` rows
+    an item. Their convolution with the kernel is a product of Fourier transforms, padded so that the ends do not
+    meet; the grid's values are interpolated between the places. This is what statistics packages do by
+    default, and differs from the exact sum by the binning: little where the bandwidth is several places wide.
+    """
+    grid = np.linspace(-p.grid_limit, p.grid_limit, p.line_points)
+    points = materialize(points.select("item", "x"), "density-x")
+    low = -p.grid_limit - 4 * F.col("bw")
+    step = (2 * p.grid_limit + 8 * F.col("bw")) / (bins - 1)
+    placed = points.join(F.broadcast(bandwidths(points)), "item").withColumn("at", (F.col("x") - low) / step)
+    left = F.floor("at")
+    share = F.col("at") - left
+    shares = F.array(F.struct(left.alias("bin"), (1 - share).alias("w")), F.struct((left + 1).alias("bin"), share.alias("w")))
+    binned = (placed.select("item", "bw", "n", F.inline(shares)).filter(F.col("bin").between(0, bins - 1))
+              .groupBy("item", "bw", "n", "bin").agg(F.sum("w").alias("w")))
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        bw, n = rows.bw.iloc[0], rows.n.iloc[0]
+        places = np.linspace(-p.grid_limit - 4 * bw, p.grid_limit + 4 * bw, bins)
+        mass = np.zeros(2 * bins)
+        mass[rows.bin.to_numpy()] = rows.w.to_numpy() / n
+        lag = np.minimum(np.arange(2 * bins), 2 * bins - np.arange(2 * bins)) * (places[1] - places[0])
+        kernel = np.exp(-0.5 * (lag / bw) ** 2) / (bw * np.sqrt(2 * np.pi))
+        smoothed = np.fft.irfft(np.fft.rfft(mass) * np.fft.rfft(kernel), 2 * bins)[:bins]
+        return pd.DataFrame({"item": rows.item.iloc[0], "i": np.arange(1, len(grid) + 1), "x": grid, "bw": bw,
+                             "density": np.interp(grid, places, np.maximum(smoothed, 0.0))})
+
+    return binned.groupBy("item").applyInPandas(smooth, "item string, i int, x double, bw double, density double")
+
+
 def density_1d_difference(by_item: DataFrame) -> DataFrame:
     """Right - left on the common grid."""
     def side(item: str):

@@ -202,6 +202,9 @@ class Study:
     def density_1d(self) -> DataFrame:
         return density.density_1d(self.density_points(), self.params)
 
+    def density_1d_binned(self) -> DataFrame:
+        return density.density_1d_binned(self.density_points(), self.params)
+
     def density_1d_difference(self) -> DataFrame:
         return density.density_1d_difference(self.density_1d())
 

@@ -56,6 +56,20 @@ def test_line_density_against_numpy(spark):
     assert diff[32] == pytest.approx(got["item R", 32].density - got["item L", 32].density)
 
 
+def test_binned_density_is_near_the_exact_one(spark):
+    draw = random.Random(9)
+    rows = [(s, draw.gauss(0, 25 * k), 0.0) for k, s in enumerate(("item L", "item R"), start=1) for _ in range(900)]
+    rows += [("item L", 900.0, 0.0), ("item L", -900.0, 0.0)]  # far outside: they count in the total
+    df = points(spark, rows)
+    exact = {(r.item, r.i): r for r in density.density_1d(df, P).collect()}
+    binned = density.density_1d_binned(df, P).collect()
+    assert len(binned) == 128
+    top = max(r.density for r in exact.values())
+    for r in binned:
+        assert r.bw == pytest.approx(exact[r.item, r.i].bw) and r.x == pytest.approx(exact[r.item, r.i].x)
+        assert abs(r.density - exact[r.item, r.i].density) < 2e-3 * top
+
+
 def test_missing_value_in_a_point_is_refused(spark):
     with pytest.raises(Exception, match="missing value"):
         density.density_2d(points(spark, [("item R", None, 0.0)]), P).collect()
