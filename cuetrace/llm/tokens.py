@@ -11,6 +11,7 @@ strings are ordinary text.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -71,16 +72,30 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha():
+            written = piece if piece[0] != " " else self.letters[0x20] + piece[1:]
+        else:
+            written = piece.encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            written = piece.encode().decode("latin1").translate(self.letters)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], "<u4").tobytes()
+            ids = self._ids(piece)
             self.pieces.keep(piece, len(piece), ids)
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._piece, PIECES.findall(chunk))) if self.direct else self.encode(chunk)
+        if not self.direct:
+            return self.encode(chunk)
+        # Words, and words before a comma or full stop, are most chunks; they need no pattern.
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return self._ids(chunk)
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return self._piece(chunk[:-1]) + self._piece(chunk[-1])
+        return b"".join(map(self._piece, PIECES.findall(chunk)))
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin; null counts as empty."""
