@@ -370,6 +370,7 @@ def build() -> dict[str, str]:
     subjects = f"SELECT ExpNr AS exp_nr, SubNr AS sub_nr, item, cueFrame AS cue_frame, phase, {rs(COLUMNS)} FROM subj"
     q = {
         "ingest_csv": query([TRACE], f"SELECT {keys}, {raw}, ExpNr AS exp_nr, seq, phase FROM trace"),
+        "ingest_growing": query([TRACE], f"SELECT {keys}, {raw}, ExpNr AS exp_nr, seq, phase FROM trace"),
         "route_experiment": query(
             [TRACE, f"named AS (SELECT SubNr, {stem} || '_' || SubNr || '.csv' AS file_name FROM trace)"],
             f"SELECT file_name, exp_nr, sub_nr, count(*) AS n_rows FROM ({routes}) GROUP BY file_name, exp_nr, sub_nr"),

@@ -16,8 +16,9 @@ from cuetrace.params import TRACE_PARAMS as P
 from cuetrace.plans.study import ALL_SIGNALS, Study
 from cuetrace.schema import EXPERIMENT, MEASURES, SIGNALS
 from cuetrace.sources import recordings
+from cuetrace.sources.growing import GrowingRecordings
 from cuetrace.sources.trace import trace, trace_in_order, write_recording_files
-from cuetrace.workspace import ship_package
+from cuetrace.workspace import new_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +73,15 @@ def ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(recordings.ingest(spark, folder).withColumn("seq", F.col("seq").cast("long")), exact=True)
 
 
+def ingest_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view written as recording files; the table grows by those of experiments 2 and 3, then by the rest."""
+    folder = write_recording_files(trace_in_order(spark, sf_dir))
+    table = GrowingRecordings(spark, new_path(spark, "growing"))
+    table.grow(folder, "Real_*")
+    table.grow(folder)
+    return tidy(table.rows().withColumn("seq", F.col("seq").cast("long")), exact=True)
+
+
 def route_experiment(rows: DataFrame) -> DataFrame:
     """File names made from the rows' keys, one in four of no experiment."""
     stems = F.array(*[F.lit(s) for s in [*recordings.ROUTES, "Practice_MEMexperimenttracking"]])
@@ -160,6 +170,7 @@ def fig_overlay(s: Study) -> DataFrame:
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {
         "ingest_csv": ingest_csv,
+        "ingest_growing": ingest_growing,
         "route_experiment": _of_rows(route_experiment),
         "union_experiments": _of_rows(union_experiments),
         "project_signal": _of_rows(project_signal),

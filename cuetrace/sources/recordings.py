@@ -48,11 +48,11 @@ def nan_to_null(column: str) -> Column:
     return F.when(~F.isnan(column), F.col(column))
 
 
-def _file_schema(spark: SparkSession, folder: str) -> T.StructType:
+def _file_schema(spark: SparkSession, source: str | list[str]) -> T.StructType:
     """Types of the known columns, in the column order of the files (from one header line)."""
     known = {field.name: field for field in RECORDING.fields}
     header = (spark.read.option("pathGlobFilter", FILE_GLOB).option("header", True)
-              .csv(folder).columns)
+              .csv(source if isinstance(source, str) else source[0]).columns)
     missing = known.keys() - set(header)
     if missing:
         raise ValueError(f"recording files lack the columns {sorted(missing)}")
@@ -83,18 +83,18 @@ def unique_subject(experiment: Column, subject: Column, offset: Column) -> Colum
     return F.when(outside, F.raise_error(message).cast("int")).otherwise(subject + offset)
 
 
-def read_recordings(spark: SparkSession, folder: str) -> DataFrame:
-    """All recording files directly in `folder` as typed rows, NA and NaN as NULL.
+def read_recordings(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """All recording files directly in the folder `source`, or those of the list, as typed rows, NA and NaN as NULL.
 
     Adds `ExpNr`, the unique `SubNr`, and the file order as (`file_name`, `file_start`, `file_row`).
     A file whose header differs from the others fails the read, as does a cell that does not parse.
     """
-    raw = (spark.read.schema(_file_schema(spark, folder))
+    raw = (spark.read.schema(_file_schema(spark, source))
            .option("pathGlobFilter", FILE_GLOB)
            .option("recursiveFileLookup", False)
            .option("header", True).option("enforceSchema", False)
            .option("nullValue", "NA").option("mode", "FAILFAST")
-           .csv(folder)
+           .csv(source)
            .select(*[_whole(f) if isinstance(f.dataType, T.IntegralType) else f.name for f in RECORDING.fields],
                    F.col("_metadata.file_name").alias("file_name"),
                    F.col("_metadata.file_block_start").alias("file_start"),
@@ -114,7 +114,11 @@ def ingest(spark: SparkSession, folder: str, *, labels: dict[int, int] | None =
     experiments other numbers in the result; subject ids and the order stay.
     """
     staged = materialize(read_recordings(spark, folder), "staged")
-    numbered = number_blocks(staged, [EXPERIMENT, "file_name", "file_start"], "file_row", SEQ)
+    return recording_table(number_blocks(staged, [EXPERIMENT, "file_name", "file_start"], "file_row", SEQ), labels)
+
+
+def recording_table(numbered: DataFrame, labels: dict[int, int] | None = None) -> DataFrame:
+    """The columns of the recording table from numbered rows, with other experiment numbers if asked for."""
     if labels:
         names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
         numbered = numbered.withColumn(EXPERIMENT, F.coalesce(names[F.col(EXPERIMENT)], F.col(EXPERIMENT)))

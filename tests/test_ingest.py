@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cuetrace.operators import numbering, reshape
 from cuetrace.schema import RECORDING
-from cuetrace.sources import recordings, trace
+from cuetrace.sources import growing, recordings, trace
 from cuetrace.workspace import delete_stored, materialize, shared_folder
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +107,66 @@ def test_a_stored_table_can_be_deleted(spark):
     delete_stored(gone)
     assert not folder.exists() and kept.count() == 5
     delete_stored(spark.range(3))
+
+
+def test_a_table_grows_by_new_files_only(spark, tmp_path, monkeypatch):
+    source, table = tmp_path / "files", growing.GrowingRecordings(spark, str(tmp_path / "table"))
+    source.mkdir()
+    read = []
+    monkeypatch.setattr(growing, "read_recordings", lambda spark, paths: (
+        read.append(sorted(p.rsplit("/", 1)[1] for p in paths)), recordings.read_recordings(spark, paths))[1])
+
+    def same_as_one_ingest():
+        columns = [*RECORDING.names, "ExpNr", "seq", "phase"]
+        want = recordings.ingest(spark, str(source)).select(columns).orderBy("seq").collect()
+        assert table.rows().select(columns).orderBy("seq").collect() == want
+
+    write(source, "Real_MEMexperimenttracking_2.csv", [{"SubNr": 2, "trial": i} for i in (3, 1, 2)])
+    write(source, "Real_1_MEMexperimenttracking_1.csv", [{"SubNr": 1, "eyeX": "NA"}])
+    write(source, "Real_1_MEMexperimenttracking_3.csv", [])
+    assert table.grow(str(source)) == 3
+    same_as_one_ingest()
+    # Sorts before all old files, between two of them, and behind them; one belongs to two experiments.
+    write(source, "Loco_MEMexperimenttracking_9.csv", [{"SubNr": 9, "trial": i} for i in range(5)])
+    write(source, "Real_MEMexperimenttracking_1.csv", [{"SubNr": 1}] * 2)
+    write(source, "Real_MEMexperimenttracking_3.csv", [{"SubNr": 3}])
+    write(source, "Loco_MEMexperimenttracking_Real_MEMexperimenttracking_4.csv", [{"SubNr": 4}])
+    write(source, "Practice_9.csv", [{"SubNr": 9}])
+    assert table.grow(str(source), "Real_*") == 2
+    assert table.grow(str(source)) == 2
+    same_as_one_ingest()
+    assert table.grow(str(source)) == 0
+    assert [len(files) for files in read] == [3, 2, 2] and len({f for files in read for f in files}) == 7
+    (source / "Loco_MEMexperimenttracking_9.csv").unlink()  # stays in the table
+    write(source, "Real_MEMexperimenttracking_2.csv", [{"SubNr": 2}])
+    with pytest.raises(ValueError, match="have changed: .'Real_MEMexperimenttracking_2.csv'"):
+        table.grow(str(source))
+    assert table.rows().filter("ExpNr = 1").count() == 6
+    assert table.rows(labels=recordings.POOLED_LABELS).filter("ExpNr = 2").count() == 6
+
+
+def test_a_failed_growth_leaves_no_rows(spark, tmp_path):
+    source, table = tmp_path / "files", growing.GrowingRecordings(spark, str(tmp_path / "table"))
+    source.mkdir()
+    write(source, "Loco_MEMexperimenttracking_1.csv", [{"SubNr": 1}] * 3)
+    table.grow(str(source))
+    rows = recordings.read_recordings(spark, str(source))
+    rows.write.partitionBy("ExpNr").parquet(str(tmp_path / "table" / "rows" / "batch=lost"))
+    assert [r.seq for r in table.rows().orderBy("seq").collect()] == [1, 2, 3]
+
+
+def test_growing_table_in_splits_is_pruned_and_written_once(spark, tmp_path):
+    rows = trace.trace_in_order(spark, SF)
+    folder, table = trace.write_recording_files(rows), growing.GrowingRecordings(spark, str(tmp_path / "table"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        table.grow(folder, "Real_*")
+        table.grow(folder)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    columns = [*RECORDING.names, "ExpNr", "seq"]
+    back = table.rows()
+    assert back.count() == rows.count() == 6000
+    assert back.select(columns).exceptAll(rows.select(columns)).count() == 0
+    plan = back.filter("ExpNr = 2").select("eyeX", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ExpNr" in plan and "headYaw" not in plan

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 # A cross-section; `python tests/compare.py <folder>` compares every query.
 SAMPLE = [
-    "ingest_csv", "route_experiment", "excl_overall", "summary_se", "sma_stream", "baseline_correct", "block_mean",
+    "ingest_csv", "ingest_growing", "route_experiment", "excl_overall", "summary_se", "sma_stream", "baseline_correct", "block_mean",
     "position_head_direction", "toward_summary_gaze_exp2", "eye_head_overlay", "tested_rows_roll", "perm_f_yaw",
     "cluster_depth_translation", "sig_times_head_direction", "behaviour_summary", "behaviour_anova", "behaviour_bayes",
     "density_1d", "density_map", "fig_behaviour", "fig_toward_yaw",
