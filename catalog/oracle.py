@@ -7,6 +7,7 @@ baselines, closed t-distribution series) so that agreement says something.
 from __future__ import annotations
 
 from cuetrace.operators import figures
+from catalog.queries import RESIDUAL_PERMUTATIONS
 from cuetrace.params import TRACE_PARAMS as P
 from cuetrace.plans.study import ALL_SIGNALS
 from cuetrace.schema import MEASURES, SIGNAL_FACTOR, SIGNALS
@@ -180,10 +181,26 @@ FROM (SELECT perm, cueFrame, count(*)::DOUBLE AS n, sum(flip * d) AS s, sum(d *
       FROM d JOIN flips USING (SubNr) GROUP BY perm, cueFrame))"""]
 
 
-def depth_ctes(name: str) -> list[str]:
-    np = P.permutations
+def residual_ctes(name: str) -> list[str]:
+    """Cells in the order of their keys within each permutation and frame; two after each other are a subject's."""
+    key = f"md5(concat_ws('|', '{P.seed}', '{name}', perm, SubNr))"
     return [
-        *perm_ctes(name),
+        *test_ctes(name),
+        f"""keys AS MATERIALIZED (SELECT SubNr, perm, {key} AS digest
+FROM (SELECT DISTINCT SubNr FROM d), (SELECT range::INT AS perm FROM range(1, {RESIDUAL_PERMUTATIONS})))""",
+        """cells AS (SELECT perm, cueFrame, e, row_number() OVER (PARTITION BY perm, cueFrame ORDER BY k) - 1 AS place FROM (
+  SELECT perm, cueFrame, d / 2 AS e, substr(digest, 1, 16) AS k FROM d JOIN keys USING (SubNr)
+  UNION ALL SELECT perm, cueFrame, -d / 2, substr(digest, 17, 16) FROM d JOIN keys USING (SubNr)))""",
+        """dealt AS (SELECT perm, cueFrame, sum(CASE WHEN place % 2 = 0 THEN e ELSE -e END) AS d FROM cells GROUP BY perm, cueFrame, place // 2
+UNION ALL SELECT 0, cueFrame, d FROM d)""",
+        """permf AS MATERIALIZED (SELECT perm, cueFrame, n * (s / n) * (s / n) / nullif((q - n * (s / n) * (s / n)) / nullif(n - 1, 0), 0) AS f
+FROM (SELECT perm, cueFrame, count(*)::DOUBLE AS n, sum(d) AS s, sum(d * d) AS q FROM dealt GROUP BY perm, cueFrame))"""]
+
+
+def depth_ctes(name: str, residual: bool = False) -> list[str]:
+    np = RESIDUAL_PERMUTATIONS if residual else P.permutations
+    return [
+        *(residual_ctes(name) if residual else perm_ctes(name)),
         "thr AS (SELECT t * t AS tau FROM tq, scal WHERE df = n_subjects - 1)",
         """runs AS MATERIALIZED (SELECT *, min(cueFrame) OVER g AS first, max(cueFrame) OVER g AS last FROM (
   SELECT perm, cueFrame, f, cueFrame - row_number() OVER (PARTITION BY perm ORDER BY cueFrame) AS run
@@ -461,6 +478,9 @@ UNION ALL SELECT layer, type, {rs(['time_ms'])}, y, NULL, NULL FROM ({' UNION AL
         q[f"perm_f_{name}"] = query(perm_ctes(name), f"SELECT perm, cueFrame AS cue_frame, {r('f', 'f')} FROM permf")
         q[f"cluster_depth_{name}"] = query(
             depth_ctes(name), f"SELECT cueFrame AS cue_frame, {r('f', 'f')}, cluster_id, {rs(['p', 'time_ms'])} FROM tested")
+        q[f"residual_f_{name}"] = query(residual_ctes(name), f"SELECT perm, cueFrame AS cue_frame, {r('f', 'f')} FROM permf")
+        q[f"cluster_depth_residual_{name}"] = query(
+            depth_ctes(name, True), f"SELECT cueFrame AS cue_frame, {r('f', 'f')}, cluster_id, {rs(['p', 'time_ms'])} FROM tested")
         q[f"sig_times_{name}"] = query(
             depth_ctes(name), f"SELECT cueFrame AS cue_frame, {rs(['time_ms', 'p'])} FROM ({sig_select()})")
     first_frames = ", ".join(

@@ -29,6 +29,8 @@ COLUMNS = list(SIGNALS.values())
 DIGITS, SHIFT = 6, 1.234567e-9
 DENSITY_DIGITS, DENSITY_SHIFT = 12, 1.234567e-15
 
+RESIDUAL_PERMUTATIONS = 1000  # the SQL beside them sorts all cells of each permutation and frame
+
 _STUDIES: dict[tuple[str, str], Study] = {}
 
 
@@ -230,6 +232,9 @@ def build() -> dict[str, Query]:
         q[f"frame_f_{name}"] = _of_study(lambda s, n=name: _without_signal(s.frame_f([n])))
         q[f"perm_f_{name}"] = _of_study(lambda s, n=name: _without_signal(s.permutation_f([n])))
         q[f"cluster_depth_{name}"] = _of_study(lambda s, n=name: _without_signal(s.cluster_test([n])))
+        q[f"residual_f_{name}"] = _of_study(lambda s, n=name: _without_signal(s.residual_f([n], RESIDUAL_PERMUTATIONS)))
+        q[f"cluster_depth_residual_{name}"] = _of_study(
+            lambda s, n=name: _without_signal(s.cluster_test([n], RESIDUAL_PERMUTATIONS, "residuals")))
         q[f"sig_times_{name}"] = _of_study(lambda s, n=name: _without_signal(s.significant_times([n])))
         q[f"fig_position_{name}"] = _of_study(lambda s, n=name: figures.ribbon(s.position_summary(n)))
     for name in figures.TOWARD_LIMITS:

@@ -44,3 +44,10 @@ def signs(seed: int, signal: str, permutations: int, subject: int) -> np.ndarray
     digests = b"".join(hashlib.md5(f"{seed}|{signal}|{block}|{subject}".encode(), usedforsecurity=False).digest()
                        for block in range(-(-permutations // SIGNS)))
     return 1.0 - 2.0 * np.unpackbits(np.frombuffer(digests, np.uint8))[:permutations]
+
+
+def shuffled_cells(seed: int, signal: str, perm: int, subjects: np.ndarray) -> np.ndarray:
+    """A random order of 2 cells for each subject (cells 2i and 2i + 1 of subject i): that of the two halves of the
+    MD5 of (seed, signal, permutation, subject), read as numbers."""
+    digests = b"".join(hashlib.md5(f"{seed}|{signal}|{perm}|{s}".encode(), usedforsecurity=False).digest() for s in subjects)
+    return np.argsort(np.frombuffer(digests, ">u8"), kind="stable")

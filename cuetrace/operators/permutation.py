@@ -1,8 +1,8 @@
-"""Permutation test over time: frame-wise F, sign-flip distribution, cluster-depth p-values.
+"""Permutation test over time: frame-wise F, its distribution without effect, cluster-depth p-values.
 
-Specification (Frossard & Renaud 2022, Troendle 1995). Deviations from R packages that offer the
-test: signs of subject differences are flipped instead of permuting residuals, and clusters
-touching a border of the window are treated as written at `cluster_depth`.
+Specification (Frossard & Renaud 2022, Troendle 1995). The distribution comes from sign flips of the subject
+differences (`permutation_f`) or from permuted residuals of the reduced model (`residual_f`), as R packages that
+offer the test do. Clusters touching a border of the window are treated as written at `cluster_depth`.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cuetrace.functions.draws import signs
+from cuetrace.functions.draws import shuffled_cells, signs
 from cuetrace.functions.means import ratio
 from cuetrace.operators.partials import few_tasks, pieces, spread, tree_sum
 from cuetrace.params import Params
 
 SUBJECTS_PER_BLOCK = 256       # bounds the matrix of signs
+FRAMES_PER_TASK = 16           # frames whose residuals a task permutes together
+MAX_SUBJECTS = 1_000_000       # a residual task holds a number per subject for each of its frames
 
 
 def frame_f(d: DataFrame) -> DataFrame:
@@ -71,6 +73,66 @@ def permutation_f(d: DataFrame, permutations: int, p: Params) -> DataFrame:
                     ratio(square, ratio(F.col("q") - square, F.col("n") - 1)).alias("f")))
 
 
+def residual_f(d: DataFrame, permutations: int, p: Params) -> DataFrame:
+    """F per (signal, perm, frame) with permuted residuals of the reduced model; perm 0 is the data.
+
+    The reduced model has the subjects but no effect of the condition. With two conditions its residuals are +d/2 and
+    -d/2 of each subject's difference d. A permutation deals them anew over all cells of subject and condition, all
+    frames alike; each subject's new difference gives F as in the data.
+
+    Against sign flips: these keep each difference's size with its subject and hold exactly when differences are
+    symmetric; here the residuals of different subjects meet in a cell, which treats all subjects as equally variable. A subject with much
+    larger differences than the others thus spreads over the cohort. A frame that lacks subjects permutes
+    the residuals it has, in the same order.
+
+    New differences pair any two cells, so sums per block of subjects do not add up as with signs. The work is
+    spread over frames: a task holds `FRAMES_PER_TASK` frames of one signal with a number per subject, and draws one
+    permutation at a time. More than `MAX_SUBJECTS` subjects are refused; sign flips have no such bound.
+    """
+    inside = d.filter(F.col("d").isNotNull() & F.col("cueFrame").between(p.first_frame, p.last_frame))
+    part = F.floor((F.col("cueFrame") - p.first_frame) / FRAMES_PER_TASK).cast("int")
+    # At most MAX_SUBJECTS x FRAMES_PER_TASK rows go to a group, or the task fails before it is built.
+    counted = inside.groupBy("signal", "cueFrame").agg(F.count("d").alias("n"))
+    most = counted.groupBy("signal").agg(F.max("n").alias("most"))
+    refused = F.raise_error(F.lit(f"residual permutation of more than {MAX_SUBJECTS} subjects")).cast("int")
+    sized = inside.join(most, "signal").select("signal", "SubNr", "cueFrame", "d", F.when(
+        F.col("most") > MAX_SUBJECTS, refused).otherwise(part).alias("part"))
+
+    def permute(rows: pd.DataFrame) -> pd.DataFrame:
+        signal = rows.signal.iloc[0]
+        if rows.duplicated(["SubNr", "cueFrame"]).any():
+            raise ValueError("more than one value per cell")
+        table = rows.pivot(index="SubNr", columns="cueFrame", values="d").sort_index()
+        subjects, frames, half = table.index.to_numpy(), table.columns.to_numpy(), table.to_numpy() / 2
+        cells = np.repeat(half, 2, axis=0)  # the two cells of a subject beside each other
+        cells[1::2] *= -1
+        there = ~np.isnan(cells)
+        whole = there.all(axis=0)
+        n = there.sum(axis=0) / 2
+        square = np.nansum(half * half, axis=0) * 4
+        sums = np.empty((permutations, len(frames)))
+        squares = np.empty_like(sums)
+        sums[0], squares[0] = np.nansum(half, axis=0) * 2, square
+        for perm in range(1, permutations):
+            order = shuffled_cells(p.seed, signal, perm, subjects)
+            new = cells[order]
+            new = new[0::2] - new[1::2]
+            sums[perm], squares[perm] = new.sum(axis=0), (new * new).sum(axis=0)
+            for at in np.flatnonzero(~whole):
+                own = cells[order[there[order, at]], at]
+                own = own[0::2] - own[1::2]
+                sums[perm, at], squares[perm, at] = own.sum(), (own * own).sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            between = sums * sums / n
+            f = between * (n - 1) / (squares - between)
+        f[~np.isfinite(f)] = np.nan
+        return pd.DataFrame({"signal": signal, "perm": np.repeat(np.arange(permutations), len(frames)),
+                             "cueFrame": np.tile(frames, permutations), "f": f.ravel()})
+
+    found = sized.groupBy("signal", "part").applyInPandas(permute, "signal string, perm int, cueFrame int, f double")
+    return found.withColumn("f", F.when(~F.isnan("f"), F.col("f")))
+
+
 def islands(f: DataFrame, scalars: DataFrame) -> DataFrame:
     """Rows above the signal's F threshold, with `start` and `end` of their run of frames."""
     flagged = (f.join(F.broadcast(scalars.select("signal", "f_threshold")), "signal")

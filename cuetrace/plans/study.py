@@ -142,22 +142,26 @@ class Study:
         return permutation.permutation_f(self.differences(names), permutations or self.params.permutations,
                                          self.params)
 
-    def stored_permutation_f(self, names: list[str], permutations: int) -> DataFrame:
-        """`permutation_f`, stored: signals x permutations x frames rows, read several times by the test."""
-        key = (*sorted(names), permutations)
+    def residual_f(self, names: list[str], permutations: int | None = None) -> DataFrame:
+        return permutation.residual_f(self.differences(names), permutations or self.params.permutations, self.params)
+
+    def stored_permutation_f(self, names: list[str], permutations: int, method: str = "signs") -> DataFrame:
+        """`permutation_f` (or `residual_f`), stored: signals x permutations x frames rows, read several times by the test."""
+        key = (*sorted(names), permutations, method)
         if key not in self._permuted:
-            self._permuted[key] = materialize(self.permutation_f(names, permutations), "permutation-f")
+            draw = {"signs": self.permutation_f, "residuals": self.residual_f}[method]
+            self._permuted[key] = materialize(draw(names, permutations), "permutation-f")
         return self._permuted[key]
 
-    def cluster_test(self, names: list[str], permutations: int | None = None) -> DataFrame:
-        """signal, cueFrame, f, cluster_id, p, time_ms."""
+    def cluster_test(self, names: list[str], permutations: int | None = None, method: str = "signs") -> DataFrame:
+        """signal, cueFrame, f, cluster_id, p, time_ms. `method`: `signs` or `residuals`."""
         count = permutations or self.params.permutations
         _, scalars = self._test_inputs(names)
-        tested = permutation.cluster_depth(self.stored_permutation_f(names, count), scalars, count, self.params)
-        return tested.select("*", self._time())
+        drawn = self.stored_permutation_f(names, count, method)
+        return permutation.cluster_depth(drawn, scalars, count, self.params).select("*", self._time())
 
-    def significant_times(self, names: list[str], permutations: int | None = None) -> DataFrame:
-        return permutation.significant_frames(self.cluster_test(names, permutations), self.params)
+    def significant_times(self, names: list[str], permutations: int | None = None, method: str = "signs") -> DataFrame:
+        return permutation.significant_frames(self.cluster_test(names, permutations, method), self.params)
 
     # behaviour
 

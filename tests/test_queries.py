@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "ingest_csv", "ingest_growing", "route_experiment", "excl_overall", "summary_se", "sma_stream", "baseline_correct", "block_mean",
     "position_head_direction", "toward_summary_gaze_exp2", "eye_head_overlay", "tested_rows_roll", "perm_f_yaw",
-    "cluster_depth_translation", "sig_times_head_direction", "behaviour_summary", "behaviour_anova", "behaviour_bayes",
+    "cluster_depth_translation", "residual_f_gaze", "cluster_depth_residual_yaw", "sig_times_head_direction", "behaviour_summary", "behaviour_anova", "behaviour_bayes",
     "density_1d", "density_map", "fig_behaviour", "fig_toward_yaw",
 ]
 

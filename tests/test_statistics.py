@@ -247,7 +247,8 @@ def test_unbalanced_cohort_is_refused(spark):
         surrogate.with_surrogate(long, surrogate.cohort_scalars(stats, P, strict=False), P).collect()
 
 
-def test_family_wise_error_and_power(spark):
+@pytest.mark.parametrize("method", ["signs", "residuals"])
+def test_family_wise_error_and_power(spark, method):
     """Forty cohorts of smooth noise and ten with an effect, each as a signal of its own."""
     draw, rows = np.random.default_rng(11), []
     for k in range(50):
@@ -257,7 +258,8 @@ def test_family_wise_error_and_power(spark):
             smooth[:, 4:9] += 0.9
         rows += [(f"s{k}", s + 1, f, float(smooth[s, i])) for s in range(14) for i, f in enumerate(SMALL.frames)]
     d = spark.createDataFrame(rows, "signal string, SubNr int, cueFrame int, d double")
-    f = permutation.permutation_f(d, 99, SMALL)
+    draw_f = permutation.residual_f if method == "residuals" else permutation.permutation_f
+    f = draw_f(d, 99, SMALL)
     scalars = d.select("signal").distinct().withColumn("f_threshold", F.lit(student.t_ppf(0.975, 13) ** 2))
     hit = permutation.cluster_depth(f, scalars, 99, SMALL).filter("p < 0.05")
     found = {r.signal: set(r.frames) for r in hit.groupBy("signal").agg(F.collect_set("cueFrame").alias("frames")).collect()}
@@ -266,6 +268,36 @@ def test_family_wise_error_and_power(spark):
         assert {2, 3, 4} <= found[f"s{k}"]
 
 
+def test_permuted_residuals_against_brute_force(spark):
+    """Cells dealt one by one and F from the two conditions' values; one subject lacks two frames, one value repeats."""
+    d = cohort(spark, 0.7, seed=5).filter("not (SubNr = 4 and cueFrame in (0, 8))")
+    d = d.withColumn("d", F.when(F.col("cueFrame") == 3, 1.5).otherwise(F.col("d")))
+    table = {(r.SubNr, r.cueFrame): r.d for r in d.collect()}
+    got = {(r.perm, r.cueFrame): r.f for r in permutation.residual_f(d.repartition(5), 40, SMALL).collect()}
+    assert len(got) == 40 * len(SMALL.frames) and got[0, 3] is None  # no variance
+    import hashlib
+    for perm in range(40):
+        keys = []
+        for s in range(1, 13):
+            digest = hashlib.md5(f"22|yaw|{perm}|{s}".encode()).hexdigest()
+            keys += [(digest[:16], s, 1), (digest[16:], s, -1)]
+        for frame in SMALL.frames:
+            cells = [side * table[s, frame] / 2 for _, s, side in sorted(keys) if (s, frame) in table]
+            first, second = np.array(cells[0::2]), np.array(cells[1::2])
+            new = first - second if perm else np.array([table[s, frame] for s in range(1, 13) if (s, frame) in table])
+            if frame != 3:
+                assert got[perm, frame] == pytest.approx(len(new) * new.mean() ** 2 / new.var(ddof=1), rel=1e-9)
+    with pytest.raises(Exception, match="more than one value per cell"):
+        permutation.residual_f(d.union(d), 3, SMALL).collect()
+    assert permutation.residual_f(d.limit(0), 3, SMALL).count() == 0
+
+
+def test_too_many_subjects_for_residuals_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(permutation, "MAX_SUBJECTS", 11)
+    with pytest.raises(Exception, match="more than 11 subjects"):
+        permutation.residual_f(cohort(spark, 0.0), 3, SMALL).collect()
+
+
 def test_signs_in_a_task_are_those_of_the_column(spark):
     drawn = spark.range(200).select(draws.permutation_sign(F.lit(22), F.lit("gaze"), F.col("id").cast("int"), F.lit(7)))
     assert [r[0] for r in drawn.collect()] == draws.signs(22, "gaze", 200, 7).tolist()
