@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cuetrace.operators.partials import few_tasks, pieces, spread, tree_sum
-from cuetrace.operators.quantiles import collect_groups, group_quantiles
+from cuetrace.operators.quantiles import collect_groups, group_quantiles, sketch
 from cuetrace.params import Params
 from cuetrace.schema import ITEM_LEFT, ITEM_RIGHT
 from cuetrace.workspace import materialize
@@ -125,13 +125,13 @@ def density_map(by_item: DataFrame, p: Params) -> DataFrame:
 def bandwidths(points: DataFrame) -> DataFrame:
     """Per item the rule-of-thumb bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5) of x.
 
-    One pass gives n, mean, sd and the bounds from which the quartiles are narrowed down.
+    One scan gives n, mean, sd and brackets of the quartiles, a second the quartiles.
     """
+    probs = [0.25, 0.75]
     found = collect_groups(points.groupBy("item").agg(
-        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.stddev_samp("x").alias("sd"), F.avg("x").alias("mean")))
+        *sketch("x", probs), F.stddev_samp("x").alias("sd"), F.avg("x").alias("mean")))
     quartiles = {(r.item, r.prob): r.quantile for r in group_quantiles(
-        points, "x", "item", [0.25, 0.75], bounds=[(r.item, r.n, r.lo, r.hi) for r in found if r.n]).collect()}
+        points, "x", "item", probs, sketched=found).collect()}
     spread = points.sparkSession.createDataFrame(
         [(r.item, r.n, r.sd, r.mean, quartiles[r.item, 0.75] - quartiles[r.item, 0.25] if r.n else None)
          for r in found], "item string, n long, sd double, mean double, iqr double")
@@ -161,7 +161,7 @@ def density_1d(points: DataFrame, p: Params) -> DataFrame:
                 yield pd.DataFrame({"item": [item], "bw": [bw[item]], "at": [at], "part": [part], "total": [numbers],
                                     "n": [counts[item]]})
 
-    # Read once per narrowing round of the quartiles and once for the sums: two narrow columns, stored.
+    # Read twice for the quartiles and once for the sums: two narrow columns, stored.
     points = materialize(points.select("item", "x"), "density-x")
     with_bw, tasks = few_tasks(points.join(F.broadcast(bandwidths(points).drop("n")), "item"))
     parts = with_bw.mapInPandas(partial, "item string, bw double, at int, part int, total binary, n long")

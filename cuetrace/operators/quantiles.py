@@ -1,12 +1,14 @@
-"""Exact quantiles of few groups with many rows, by counting in ever finer bins."""
+"""Exact quantiles of few groups with many rows, in two scans: a rank sketch, then counting near the ranks."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-BINS = 65_536
+from cuetrace.workspace import delete_stored, materialize
+
+ACCURACY = 10_000    # a sketched value's rank is off by at most a share of 1 / ACCURACY
 MAX_GROUPS = 10_000  # their bounds are kept on the driver
 
 
@@ -18,60 +20,78 @@ def collect_groups(groups: DataFrame) -> list[Row]:
     return rows
 
 
-def group_quantiles(df: DataFrame, value: str, by: str, probs: list[float], *, bins: int = BINS,
-                    bounds: list[tuple] | None = None) -> DataFrame:
-    """Columns `by`, prob, quantile: linear interpolation between order statistics (type 7).
+def sketch(value: str, probs: list[float], accuracy: int = ACCURACY) -> list[Column]:
+    """Aggregates `n`, `lo`, `hi` and `sketch`: for each of `probs` a value surely below its rank and one surely above.
 
-    Spark's exact `percentile` holds all distinct values of a group in one buffer. Here each
-    pass counts the values of the open ranges in equal bins (combined before the shuffle, at
-    most `bins` rows per range) and keeps the bin holding the wanted rank, until it has a
-    single value. Groups are conditions, so the driver sees a few numbers per pass. `bounds` may
-    give what the first pass finds: (group, count, smallest, largest) for each group with a value.
+    The sketch is mergeable and of bounded size; the shares asked for lie three errors off the wanted ones.
     """
-    spark = df.sparkSession
+    shares = [share for p in probs for share in (max(p - 3 / accuracy, 0.0), min(p + 3 / accuracy, 1.0))]
+    x = F.col(value).cast("double")
+    return [F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
+            F.percentile_approx(x, shares, accuracy).alias("sketch")]
+
+
+def group_quantiles(df: DataFrame, value: str, by: str, probs: list[float], *, accuracy: int = ACCURACY,
+                    sketched: list[Row] | None = None) -> DataFrame:
+    """Columns `by`, prob, quantile: linear interpolation between order statistics (type 7). NULLs do not count.
+
+    Spark's exact `percentile` holds all distinct values of a group in one buffer. Here a first scan brackets the
+    ranks by a sketch; a second counts the rows below each bracket and, value by value, those inside, some
+    6 / `accuracy` of all rows, combined before the shuffle. The counted values are sorted over the cluster and the ranks
+    looked up in their running sums. Heavy ties make brackets of one value, heavy tails change nothing. Groups
+    are conditions, so the driver sees a few numbers for each. `sketched` may give what the first scan
+    finds: rows with `by` and the columns of `sketch(value, probs)`.
+    """
+    spark, kind = df.sparkSession, df.schema[by].dataType.simpleString()
     rows = df.select(by, F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    if bounds is None:
-        bounds = collect_groups(rows.groupBy(by).agg(F.count("x"), F.min("x"), F.max("x")))
-    found: dict[tuple, float] = {}
-    wanted, ranges, sizes = [], {}, {}
-    for group, n, lo, hi in bounds:
-        sizes[group] = n
-        for prob in probs:
-            at = (n - 1) * prob
-            wanted.append((group, prob, at))
-            for rank in {math.floor(at), math.ceil(at)}:
-                ranges[group, rank] = (lo, hi, rank)  # bounds, and rank counted inside them
-    while True:
-        found.update({k: lo for k, (lo, hi, _) in ranges.items() if lo == hi})
-        ranges = {k: r for k, r in ranges.items() if k not in found}
-        if not ranges:
-            break
-        ranges = _narrow(rows, by, ranges, bins)
-    result = [(g, prob, found[g, math.floor(at)]
-               + (found[g, math.ceil(at)] - found[g, math.floor(at)]) * (at - math.floor(at)))
+    if sketched is None:
+        sketched = collect_groups(rows.groupBy(by).agg(*sketch("x", probs, accuracy)))
+    wanted = [(r[by], prob, (r.n - 1) * prob) for r in sketched if r.n for prob in probs]
+    brackets = {}
+    for r in sketched:
+        for k, prob in enumerate(probs if r.n else []):
+            # Up to this many rows a share of 1 / accuracy is less than one row: no need for a bracket.
+            near = (r.lo, r.hi) if r.n <= accuracy else (r.sketch[2 * k], r.sketch[2 * k + 1])
+            brackets[r[by], prob] = near
+    whole = {r[by]: (r.lo, r.hi) for r in sketched}
+    found = {key: (lo, lo) for key, (lo, hi) in brackets.items() if whole[key[0]] == (lo, hi) and lo == hi}
+    while missing := [w for w in wanted if w[:2] not in found]:
+        found |= _ranked(rows, by, kind, [(g, prob, at, *brackets[g, prob]) for g, prob, at in missing])
+        # Never seen: a bracket without its rank would be widened to all of the group's values and counted again.
+        brackets |= {(g, prob): whole[g] for g, prob, _ in missing if (g, prob) not in found}
+    result = [(g, prob, found[g, prob][0] + (found[g, prob][1] - found[g, prob][0]) * (at - math.floor(at)))
               for g, prob, at in wanted]
-    group_type = df.schema[by].dataType.simpleString()
-    return spark.createDataFrame(result, f"{by} {group_type}, prob double, quantile double")
+    return spark.createDataFrame(result, f"{by} {kind}, prob double, quantile double")
 
 
-def _narrow(rows: DataFrame, by: str, ranges: dict, bins: int) -> dict:
-    """One pass: the bin of each range that holds its rank, as the range's new bounds."""
+def _ranked(rows: DataFrame, by: str, kind: str, brackets: list[tuple]) -> dict[tuple, tuple[float, float]]:
+    """Per (group, prob) of `brackets` (group, prob, place, low, high) the values of the ranks below and above `place`."""
     spark = rows.sparkSession
-    group_type = rows.schema[by].dataType.simpleString()
-    spans = spark.createDataFrame(
-        sorted({(g, lo, hi) for (g, _), (lo, hi, _) in ranges.items()}, key=str),
-        f"{by} {group_type}, lo double, hi double")
-    place = F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)
-    counts = (rows.join(F.broadcast(spans), by)
-              .filter(F.col("x").between(F.col("lo"), F.col("hi")))
-              .groupBy(by, "lo", "hi", F.least(place, F.lit(bins - 1)).alias("bin"))
-              .agg(F.count("x").alias("n"), F.min("x").alias("new_lo"), F.max("x").alias("new_hi")))
-    upto = Window.partitionBy(by, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = spark.createDataFrame(
-        [(g, lo, hi, rank, inside) for (g, rank), (lo, hi, inside) in ranges.items()],
-        f"{by} {group_type}, lo double, hi double, rank long, inside long")
-    hits = (counts.withColumn("upto", F.sum("n").over(upto))
-            .join(F.broadcast(ranks), [by, "lo", "hi"])
-            .filter((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
-            .select(by, "rank", "new_lo", "new_hi", (F.col("inside") - (F.col("upto") - F.col("n")))))
-    return {(g, rank): (lo, hi, inside) for g, rank, lo, hi, inside in hits.collect()}
+    bounds = F.broadcast(spark.createDataFrame(brackets, f"{by} {kind}, prob double, at double, low double, high double"))
+    inside = F.when(F.col("x") >= F.col("low"), F.col("x"))  # NULL: below the bracket
+    counts = materialize(rows.join(bounds, by).filter(F.col("x") <= F.col("high"))
+                         .groupBy(by, "prob", "at", inside.alias("x")).agg(F.count(F.lit(1)).alias("n")), "rank-counts")
+    order = [by, "prob", F.col("x").asc_nulls_first()]
+    ordered = materialize(counts.orderBy(*order).withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)),
+                          "rank-order")
+    # A row per partition and bracket is summed up in sequence; inside a partition the values are.
+    before = Window.partitionBy(by, "prob").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy(by, "prob", "part").agg(F.sum("n").alias("n")).select(
+        by, "prob", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    upto = Window.partitionBy(by, "prob", "part").orderBy(F.col("x").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    placed = (ordered.withColumn("upto", F.sum("n").over(upto)).join(starts, [by, "prob", "part"])
+              .withColumn("upto", F.col("upto") + F.col("start")).filter(F.col("x").isNotNull()))
+    first = F.col("upto") - F.col("n")
+
+    def holds(rank: Column) -> Column:
+        return (rank >= first) & (rank < F.col("upto"))
+
+    below, above = F.floor("at"), F.ceil("at")
+    hits = (placed.filter(holds(below) | holds(above)).groupBy(by, "prob").agg(
+        F.max(F.when(holds(below), F.col("x"))).alias("below"), F.max(F.when(holds(above), F.col("x"))).alias("above")))
+    found = {(r[by], r.prob): (r.below, r.above) for r in hits.collect()  # at most a row per bracket
+             if r.below is not None and r.above is not None}
+    delete_stored(counts)
+    delete_stored(ordered)
+    return found

@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from cuetrace import Params
 from cuetrace.operators import density, figures, quantiles
+from cuetrace.workspace import materialize
 
 P = Params(grid_size=50, line_points=64)
 
@@ -75,19 +76,52 @@ def test_missing_value_in_a_point_is_refused(spark):
         density.density_2d(points(spark, [("item R", None, 0.0)]), P).collect()
 
 
-@pytest.mark.parametrize("bins", [2, 7, 65_536])
-def test_quantiles_equal_numpy(spark, bins):
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles_equal_numpy(spark, accuracy):
     draw = random.Random(7)
     groups = {"a": [draw.gauss(0, 1) for _ in range(501)], "b": [float(draw.randint(0, 3)) for _ in range(90)],
-              "c": [5.0], "d": [1e300, -1e300, 2.0, 3.0], "e": [0.0] * 50 + [draw.expovariate(1e-6) for _ in range(30)]}
-    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, x double")
+              "c": [5.0], "d": [1e300, -1e300, 2.0, 3.0], "e": [0.0] * 50 + [draw.expovariate(1e-6) for _ in range(30)],
+              "f": [2.5] * 4000 + [draw.gauss(0, 1) for _ in range(2000)],
+              "g": [math.copysign(10.0 ** draw.uniform(-300, 300), draw.random() - 0.5) for _ in range(3000)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("h", None)], "g string, x double")
+    df = df.repartition(13)
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = {(r.g, r.prob): r.quantile for r in quantiles.group_quantiles(df, "x", "g", probs, bins=bins).collect()}
+    got = {(r.g, r.prob): r.quantile for r in quantiles.group_quantiles(df, "x", "g", probs, accuracy=accuracy).collect()}
+    assert len(got) == len(groups) * len(probs)
     for g, vs in groups.items():
         for p in probs:
             assert got[g, p] == pytest.approx(float(np.quantile(vs, p)), rel=1e-12, abs=1e-12), (g, p)
 
 
+@pytest.mark.parametrize("shape", ["ties", "tails", "normal"])
+def test_quantiles_take_two_scans(spark, monkeypatch, shape):
+    """The rows are counted by an accumulator each time they are read; few of them are kept for the ranks."""
+    draw = random.Random(3)
+    make = {"ties": lambda: float(draw.randint(0, 2)), "tails": lambda: 10.0 ** draw.uniform(-300, 300),
+            "normal": lambda: draw.gauss(0, 1)}[shape]
+    values = [make() for _ in range(20_000)]
+    stored = materialize(spark.createDataFrame([("a", v) for v in values], "g string, x double").repartition(4), "values")
+    read, kept = spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    write = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda df, name: (lambda t: (kept.append(t.count()), t)[1])(write(df, name)))
+    got = quantiles.group_quantiles(stored.mapInPandas(count, stored.schema), "x", "g", [0.25, 0.75], accuracy=1000).collect()
+    assert {r.prob: r.quantile for r in got} == pytest.approx({p: float(np.quantile(values, p)) for p in (0.25, 0.75)}, rel=1e-12)
+    assert read.value == 2 * len(values) and max(kept) < len(values) / 50
+
+
+def test_a_bracket_without_its_rank_is_widened(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in range(100)], "g string, x double")
+    wrong = [Row(g="a", n=100, lo=0.0, hi=99.0, sketch=[60.0, 70.0])]
+    got = quantiles.group_quantiles(df, "x", "g", [0.25], accuracy=10, sketched=wrong).collect()
+    assert [r.quantile for r in got] == [24.75]
+
+
 def test_circles_close(spark):
     rows = figures.circles(spark).orderBy("centre", "i").collect()
     assert len(rows) == 200 and rows[0].x == -75.0 and rows[99].x == pytest.approx(-75.0)
