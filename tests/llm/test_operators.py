@@ -256,11 +256,16 @@ def test_jaccard(documents, rows, nothing, block):
             for b, t in sets.items():
                 if s and t and 100 * len(s & t) >= 80 * len(s | t):
                     label[a] = min(label[a], label[b])
-    for r in jaccard.near_duplicates(documents, block=block).collect():
+    here = [sets[d] for d, _ in rows if d is not None]
+    count = {d: sum(bool(s) and 100 * len(s & t) >= 80 * len(s | t) for t in here) - bool(s) for d, s in sets.items()}
+    found = jaccard.near_duplicates(documents, block=block).collect()
+    assert len(found) == len(rows)
+    for r in found:
         if r["doc_id"] is not None:
-            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), label[r["doc_id"]])
+            assert (r["n_shingles"], r["component_id"], r["n_links"]) == (
+                len(sets[r["doc_id"]]), label[r["doc_id"]], count[r["doc_id"]])
         else:
-            assert r["component_id"] is None
+            assert r["component_id"] is None and r["n_links"] == 0
     assert jaccard.near_duplicates(nothing).count() == 0
 
 
@@ -276,8 +281,39 @@ def test_frequent_shingles_are_salted_without_losing_links(spark, words, monkeyp
     texts += [(300 + i, " ".join(words(100) + passage + words(100))) for i in range(40)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     assert len(jaccard.frequent_shingles(docs)) == min(frequent, 196 + 26)
-    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
-    assert found == {d: 100 if d < 300 else d for d, _ in texts}
+    found = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect()}
+    assert found == {d: (100, 59) if d < 300 else (d, 0) for d, _ in texts}
+
+
+def test_links_of_rows_with_one_doc_id(spark, words):
+    """Two rows of document 1 hold different texts, one of them twice; a clique of five different texts has all its links."""
+    a, b = words(120), words(120)
+    near = [[*b[:20 * i + 5], f"other{i}", *b[20 * i + 6:]] for i in range(5)]
+    rows = [(1, a), (1, a), (1, near[0]), (2, a), *[(10 + i, t) for i, t in enumerate(near[1:], start=1)], (None, a)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").repartition(5)
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_links"]) for r in jaccard.near_duplicates(docs).collect())
+    assert found == [(0, 0, 0), (1, 1, 2), (1, 1, 2), (1, 1, 4), (2, 1, 2), *[(10 + i, 1, 4) for i in range(1, 5)]]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_group_finds_every_link(split):
+    draw = np.random.default_rng(4)
+    pool = draw.integers(1, 2**63, 4000).astype(np.uint64)
+    sets = []
+    for k in range(300):
+        base = pool[100 * (k % 7):100 * (k % 7) + 90]
+        sets.append(np.unique(np.concatenate([base[draw.random(90) > 0.06 * (k % 3)], draw.choice(pool, 3)])))
+    weights, halves = draw.integers(1, 4, 300), draw.integers(3, 5, 300) if split else None
+    group = jaccard._Group(sets, weights, 80, halves)
+    group.run()
+    want, edges = np.zeros(300, int), 0
+    for i in range(300):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            across = halves is None or halves[i] != halves[j]
+            if across and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                want[i], want[j], edges = want[i] + weights[j], want[j] + weights[i], edges + 1
+    assert edges > 2000 and group.degree.tolist() == want.tolist() and 200 < len(group.links) < 300
 
 
 def test_secrets(spark):
