@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from cuetrace.workspace import new_path, ship_package
+from cuetrace.workspace import delete_stored, new_path, ship_package
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,6 @@ def release(spark) -> None:
 
 
 def drop_stored(*tables: DataFrame) -> None:
-    """Delete stored tables whose last reader has ended."""
+    """Delete stored tables of this application whose last reader has ended; other folders are left alone."""
     for df in tables:
-        spark = df.sparkSession
-        folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
-        for folder in folders:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_stored(df)

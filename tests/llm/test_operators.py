@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from compare import connect, difference  # noqa: E402
-from cuetrace.llm import chat, decontaminate, jaccard, lines, oracle, packing, passages, quality  # noqa: E402
+from cuetrace.llm import chat, decontaminate, jaccard, jobs, lines, oracle, packing, passages, quality  # noqa: E402
 from cuetrace.llm import queries, secret_scan, templates, vptree, wavelet  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -460,3 +460,12 @@ def test_pipeline_stages(spark):
         else:
             assert out.columns == docs.columns and 0 < out.count() <= docs.count()
             docs = out
+
+
+def test_only_own_tables_are_dropped(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "users"))
+    users, own = spark.read.parquet(str(tmp_path / "users")), jobs.store(spark.range(4), "own")
+    folder = Path(own.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.exists()
+    jobs.drop_stored(users, own)
+    assert users.count() == 3 and not folder.exists()
