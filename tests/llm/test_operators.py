@@ -21,6 +21,11 @@ ROOT = Path(__file__).resolve().parents[2]
 DOCS = "doc_id long, text string, h int, text_hash string, n_lines int, rank int"
 
 
+def words_in(text):
+    """Only ASCII white space separates words; `str.split` would cut at other spaces too."""
+    return re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+
+
 @pytest.fixture(scope="module")
 def words():
     random = np.random.default_rng(5)
@@ -211,7 +216,7 @@ def test_passages(documents, rows, nothing):
     known = sorted({(d, t) for d, t in rows if d is not None}, key=place)
     seen, expected = {}, {}
     for doc_id, text in known:
-        w = (text or "").split()
+        w = words_in(text)
         gone = [False] * len(w)
         for i in range(len(w) - 19):
             key = tuple(w[i:i + 20])
@@ -247,7 +252,7 @@ def test_hot_anchors_go_into_no_shard(spark, documents, rows, nothing, words, mo
 def test_jaccard(documents, rows, nothing, block):
     sets = defaultdict(set)
     for doc_id, text in rows:
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        w = words_in(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         if doc_id is not None:
             sets[doc_id] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
     label = {d: d for d in sets}
