@@ -13,6 +13,7 @@ Rows with a null doc_id are read by every rule. Only DataFrame functions are use
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as kind, _parser as parser
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuetrace.workspace import materialize
 
 MAX_STRINGS = 64  # of a part of a regex that are followed one by one
+BLOCK = 64  # matches
 Clauses = list[frozenset[str]]
 
 
@@ -133,18 +135,39 @@ def candidates(postings: DataFrame, rules: list[Rule], trigrams: list[str]) -> D
     return held.select("doc_id", bits.alias("rule_bits")).filter(F.col("rule_bits") != 0)
 
 
+def _in_turn(items: Column, length: Callable[[Column], Column], place: Callable[[Column, Column], Column],
+             kind: str) -> Column:
+    """(at, out): the sum of the items' lengths, and each item placed at the sum before it."""
+    return F.aggregate(items, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+                       lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"),
+                                               F.concat(acc["out"], F.array(place(acc["at"], x))).alias("out")))
+
+
+def _placed(sizes: Column) -> Column:
+    """Array of (start, stop) from one of (gap, size).
+
+    Appending to an array copies it, so sums run inside blocks of `BLOCK` items, and then over the blocks.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")),
+                         lambda b: _in_turn(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)),
+                                            lambda p: p["gap"] + p["size"],
+                                            lambda at, p: F.struct((at + p["gap"]).alias("start"),
+                                                                   (at + p["gap"] + p["size"]).alias("stop")),
+                                            "struct<start:int,stop:int>"))
+    return F.transform(F.array(blocks), lambda held: F.flatten(F.zip_with(
+        held, _in_turn(held, lambda b: b["at"], lambda at, b: at, "int")["out"],
+        lambda b, at: F.transform(b["out"], lambda s: F.struct((s["start"] + at).alias("start"),
+                                                               (s["stop"] + at).alias("stop"))))))[0]
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, rule, end) of the rule's matches, leftmost and non-overlapping, in code points."""
     found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    # The text is what lies between the matches and the matches in turn; a running sum gives their places.
-    pairs = F.zip_with(found, between, lambda m, gap: F.struct(
+    # The text is what lies between the matches and the matches in turn; running sums give their places.
+    sizes = F.zip_with(found, between, lambda m, gap: F.struct(
         F.coalesce(F.char_length(gap), F.lit(0)).alias("gap"), F.coalesce(F.char_length(m), F.lit(0)).alias("size")))
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, p: F.struct(
-        (acc["at"] + p["gap"] + p["size"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"),
-                                              (acc["at"] + p["gap"] + p["size"]).alias("stop")))).alias("out")))["out"]
+    placed = F.transform(F.array(sizes), _placed)[0]
     good = F.filter(F.zip_with(F.slice(placed, 1, F.size(found)), tested, lambda s, t: F.struct(
         s["start"].alias("start"), F.lit(order).alias("kind"), s["stop"].alias("stop"),
         F.char_length(t).alias("size"))), lambda s: s["size"] >= rule.min_chars)
@@ -173,11 +196,14 @@ def find_secrets(documents: DataFrame, rules: list[Rule] | None = None) -> DataF
 
 
 def _shorter(rule: Rule) -> Rule:
-    """A rule whose last class must be long enough for the whole match asks so in its regex, with equal matches."""
+    """A rule whose last class must be long enough for the whole match asks so in its regex.
+
+    Only where plain characters of that class come before it: a match then ends where a run of the class does, and
+    one that is too short leaves no room for a later one in its run. Other rules are left as they are.
+    """
     if rule.group or not rule.pattern.endswith("]+") or rule.min_chars < 2:
         return rule
-    head = rule.pattern[:rule.pattern.rindex("[")]
-    plain = re.sub(r"\[[^]]*\]", "x", head)
-    if re.fullmatch(r"[A-Za-z_x]*", plain) is None:
+    head, last = rule.pattern[:rule.pattern.rindex("[")], rule.pattern[rule.pattern.rindex("["):-1]
+    if re.fullmatch(r"[A-Za-z0-9]*", head) is None or re.fullmatch(f"{last}*", head) is None:
         return rule
-    return Rule(rule.name, f"{rule.pattern[:-1]}{{{rule.min_chars - len(plain)},}}", 0, rule.min_chars, rule.base)
+    return Rule(rule.name, f"{head}{last}{{{rule.min_chars - len(head)},}}", 0, rule.min_chars, rule.base)
