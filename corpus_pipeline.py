@@ -54,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The classifier and the tokenizer have no SQL form; tests hold the other stages against brute force.
 ORACLE_SQL = None
 
 
