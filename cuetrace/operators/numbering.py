@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cuetrace.workspace import materialize
 
+ROWS_A_TASK = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks to sort `rows` rows in: their number grows with the rows, so that a task's share fits its memory."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+
 
 def number_blocks(rows: DataFrame, block: list[str], position: str, name: str = "seq") -> DataFrame:
     """Add `name` = 1, 2, ... in the order of (`block`, `position`).
@@ -28,11 +35,12 @@ def number_sorted(df: DataFrame, order: list[str | Column], name: str = "seq") -
     partitions are then numbered one after the other.
 
     Rows equal in `order` keep their input order, which also lets the range partitioning
-    split a large group of them.
+    split a large group of them. `order` may hold expressions: only the columns of `df` are moved and stored.
     """
+    by = [*order, "_tie"]
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    stored = materialize(
-        tied.orderBy(*order, "_tie").drop("_tie").withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    in_order = tied.repartitionByRange(tasks_for(df.sparkSession, df.count()), *by).sortWithinPartitions(*by)
+    stored = materialize(in_order.drop("_tie").withColumn("_id", F.monotonically_increasing_id()), "sorted")
     numbered = number_blocks(
         stored.withColumn("_part", F.shiftright("_id", 33)), ["_part"], "_id", name)
     return numbered.drop("_part", "_id")
