@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18  # its temporary arrays fit the CPU's caches and are small beside the worker
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 

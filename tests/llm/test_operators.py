@@ -482,6 +482,28 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
     assert float(grown) < 300
 
 
+def test_encoding_many_words_keeps_little_memory():
+    """In a process of its own: what encoding 800,000 distinct words adds to the peak with the tokenizer loaded."""
+    import subprocess
+    import sys
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(ROOT)!r})
+import pyarrow as pa
+from cuetrace.llm import queries, tokens
+tokens.encoder(queries.tokenizer_path(), False)
+texts = [" ".join("".join(chr(97 + i // 26 ** p % 26) for p in range(5)) for i in range(1000 * k, 1000 * k + 1000))
+         for k in range(800)]
+batch = pa.record_batch({{"text": texts}})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in tokens.encoded(batch, "text", queries.tokenizer_path()):
+    pass
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True).stdout
+    assert float(grown) < 120
+
+
 def test_masks_leave_no_choice_of_substitutions():
     from itertools import combinations
     masks = decontaminate.choose_masks(13, 2)
