@@ -276,3 +276,27 @@ def test_scores_that_do_not_fit_are_refused(spark):
     frame = spark.createDataFrame([(0, [1e8, 1e8], 1), (1, [1e8, 1.0], 1)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(Exception, match="do not fit"):
         negatives.hard_negatives(frame, F.col("label"), F.col("vec_id") == 0).collect()
+
+
+def test_quality_rules_count_without_functions_over_arrays(spark, monkeypatch):
+    """The corpus is counted by compiled code alone, which takes rows of single words."""
+    plans, store = {}, quality_rules.store
+    monkeypatch.setattr(quality_rules, "store", lambda df, name: plans.update(
+        {name: df._jdf.queryExecution().executedPlan().toString()}) or store(df, name))
+    frame = spark.createDataFrame([(1, "ΟΔΟΣ ΟΔΟΣ, Σ\tABCDE İx\nΑΣ"), (2, None), (3, "abcde ς")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    counts = {r["bucket"]: (r["raw"], r["target"]) for r in quality_rules.ngram_counts(frame, labels).collect()}
+    assert "lambda" not in plans["ngram-counts"]
+    words = F.explode(quality_rules.words_of(F.coalesce("text", F.lit("")))).alias("w")
+    single = frame.select("doc_id", words).select("doc_id", F.explode(F.array(
+        *quality_rules.word_buckets(F.lower("w")))).alias("b")).filter("b is not null").collect()
+    assert counts == {b: (sum(r["b"] == b for r in single), sum(r["b"] == b and r["doc_id"] == 1 for r in single))
+                      for b in {r["b"] for r in single}}
+
+
+def test_repeat_words_with_and_without_repeats(spark):
+    texts = ["", "a b c d e", "a b c d e f", "a a a a a a", "a b c d e x a b c d e", "a b c d e a b c d e a", "A b c d e a b c d e"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(
+        "i", quality_rules.words_of(F.col("text")).alias("w")).withColumn("h", quality_rules.window_hashes(F.col("w")))
+    found = frame.select("i", F.size("h").alias("n"), quality_rules.repeat_words(F.col("w"), F.col("h")).alias("r")).collect()
+    assert [(r["n"], r["r"]) for r in sorted(found)] == [(0, 0), (0, 0), (2, 0), (2, 6), (7, 10), (7, 11), (6, 0)]
